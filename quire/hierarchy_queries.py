@@ -32,19 +32,19 @@ ids as (select node_id as parent, true as known from edges)"""
 _walk = f"""
 with recursive {_links},
 marked as (select e.node_id, e.parent, i.known is not null as inner_node from edges e left join ids i using (parent)),
-walk(node_id, at, path) as (
+walk(node_id, place, path) as (
   select node_id, node_id, [node_id] from marked
   union all
-  select w.node_id, m.parent, list_append(w.path, m.parent) from walk w join marked m on m.node_id = w.at
+  select w.node_id, m.parent, list_append(w.path, m.parent) from walk w join marked m on m.node_id = w.place
   where m.inner_node and not list_contains(w.path, m.parent)),
-ends as (select node_id, at, path from walk qualify row_number() over (partition by node_id order by len(path) desc) = 1),
+ends as (select node_id, place, path from walk qualify row_number() over (partition by node_id order by len(path) desc) = 1),
 told as (
   select e.node_id, e.path, m.parent as next, m.inner_node,
     case when m.parent is null then 'rooted' when not m.inner_node then 'orphan'
       when list_position(e.path, m.parent) = 1 then 'cycle' else 'below_cycle' end as state,
-    case when not m.inner_node then e.at else list_min(e.path[list_position(e.path, m.parent):]) end as anchor_id,
+    case when not m.inner_node then e.place else list_min(e.path[list_position(e.path, m.parent):]) end as anchor_id,
     case when not m.inner_node then len(e.path) - 1 else list_position(e.path, m.parent) - 1 end as steps
-  from ends e join marked m on m.node_id = e.at)
+  from ends e join marked m on m.node_id = e.place)
 """
 ORACLE = {
     "p4_found": _walk + "select node_id, state, anchor_id, cast(steps as integer) as steps from told where state <> 'rooted'",
