@@ -88,7 +88,7 @@ def rejection_reason(c: Column) -> Column:
         .when(h.rlike(r"(?i)^(?:p(?:age)?\.?\s*)?[ivxlcdm\d]+$"), "folio_or_numeric_only")
         .when(F.length(h) > 180, "too_long")
         .when(word_count(h) > 24, "sentence_like")
-        .when(F.coalesce(numbering(c)["family"].isin(TITLE_LABELS), F.lit(False)), None)
+        .when(h.rlike(_LABELLED), None)
         .when(h.rlike("[?!。？！]$") & (word_count(h) > 7), "quotation_or_sentence")
     )
 
