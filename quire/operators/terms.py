@@ -32,9 +32,12 @@ def ngrams(segments: DataFrame, sizes: tuple[int, ...] = (2, 3), least: int = 4)
     """phrase, n, segments: 2- and 3-grams that neither begin nor end with a stopword, occurring often enough."""
     t = F.transform(words(F.col("source_text")), lambda x: F.lower(x))
     rows = segments.where("source_text is not null").select("id", t.alias("t"))
-    grams = F.flatten(F.array(*[
-        F.when(F.size("t") >= k, F.transform(F.sequence(F.lit(1), F.size("t") - (k - 1)), lambda i, k=k: F.slice("t", i, F.lit(k)))).otherwise(F.array().cast("array<array<string>>")) for k in sizes
-    ]))
+
+    def of(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size("t") - (k - 1))
+        return F.when(F.size("t") >= k, F.transform(starts, lambda i: F.slice("t", i, F.lit(k)))).otherwise(F.array().cast("array<array<string>>"))
+
+    grams = F.flatten(F.array(*map(of, sizes)))
     g = rows.select("id", F.explode(grams).alias("g")).where(~F.try_element_at("g", F.lit(1)).isin(STOPWORDS) & ~F.try_element_at("g", F.lit(-1)).isin(STOPWORDS))
     return g.groupBy(F.array_join("g", " ").alias("phrase")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("segments")).where(F.col("n") >= least)
 
