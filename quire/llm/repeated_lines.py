@@ -1,88 +1,109 @@
 """Lines repeated across the pages of one source.
 
-Lines become templates through token trees of fixed depth. A line is folded
-(case, blanks, punctuation, attached page numbers, accents) and enters two
-branches of its source's tree: one is keyed by its first letters, the other by its
-last, and everything else of the line is a wildcard slot. A line whose slot is
-within a letter or two of a form seen on several pages takes that form as its
-template; so a misread or lost letter anywhere leaves at least one branch intact.
-
-Trees of different partitions merge by the branch key: forms are aggregated per
-(source, form) before and after the shuffle, then meet per (source, branch). A
-source with a third of all rows is spread over its branches. Pages of a template
-are counted exactly, over distinct (source, template, page).
+Lines become templates through token trees of fixed depth: source, stretch of
+pages, branch. A line is folded (case, blanks, punctuation, attached page numbers,
+accents) and enters two branches, one keyed by its first letters, one by its
+last; everything else of it is a wildcard slot. A line takes as its template a
+form printed on several pages if it reaches it through a branch and its slot is
+within a letter or two; a misread or lost letter anywhere leaves at least one
+branch intact.
+
+The trees of all partitions merge by (source, form): forms are counted per stretch
+before they are counted per source, and only forms repeated within a stretch leave
+it. The templates then go back to every stretch of their source. A stretch bounds
+the rows of one key, so a source with a third of all rows is spread over its
+stretches. Pages of a template are counted exactly, over distinct pages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.fold import ACCENTED, PLAIN
+from quire.runtime import cut
 
-#: Letters of a branch key.
-BRANCH = 8
+#: Letters of a branch key; pages of a stretch.
+BRANCH, STRETCH = 8, 256
 #: Forms from this length on may differ by two letters, shorter ones by one; below the second no slot is open.
 LONG_FORM, SHORT_FORM = 24, 9
+#: A form is a template if it alone is on this part of the pages that make a line excessive.
+BASE_PART = 4
 #: Words before a page number.
 PAGE_WORDS = "pages?|pag|pp?|seiten?|s|folio|fol|f|blatt|bl|feuillet|leaf|no|nr|n|page n"
 _ROMAN = "[ivxlcdm]+"
 _NUMBER = rf"(?:\d+|{_ROMAN})"
+_ONLY_NUMBER = re.compile(rf"[\W_]*(?:(?:{PAGE_WORDS})(?![^\W\d_])[\W_]*)?{_NUMBER}(?:[\W_]+(?:of|von|sur|de|aus)?[\W_]*{_NUMBER})?[\W_]*$")
+_ATTACHED = rf"(?:(?:{PAGE_WORDS})[. ]{{1,2}})?(?:\d+[*†]?|{_ROMAN}(?=[\s\])|·—–:-]|\.\s|$))"
+_AT_START = re.compile(rf"[\W_]*{_ATTACHED}(?=[\W\d_]|$)")
+_AT_END = re.compile(rf"(?<![^\W_]){_ATTACHED}[\W_]*$")
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+_FOLD = str.maketrans(ACCENTED + "ß", PLAIN + "s")
+_TAIL = 16
 
 
-def is_page_number(line: Column) -> Column:
+def is_page_number(line: str) -> bool:
     """Whether a line is nothing but a page number, in any style."""
-    low = F.lower(line)
-    return low.rlike(rf"^[^\p{{L}}\p{{N}}]*(?:(?:{PAGE_WORDS})(?![\p{{L}}])[^\p{{L}}\p{{N}}]*)?{_NUMBER}(?:[^\p{{L}}\p{{N}}]+(?:of|von|sur|de|aus)?[^\p{{L}}\p{{N}}]*{_NUMBER})?[^\p{{L}}\p{{N}}]*$")
-
-
-def line_form(line: Column) -> Column:
-    """The folded form of a line; null where no letters are left or the line is only a page number."""
-    low = F.lower(line)
-    number = rf"(?:(?:{PAGE_WORDS})[. ]{{1,2}})?(?:\d+[*†]?|{_ROMAN}(?=[\s\])|·—–:-]|\.\s|$))"
-    edge = rf"^[^\p{{L}}\p{{N}}]*{number}(?=[^\p{{L}}]|$)|(?<![\p{{L}}\p{{N}}]){number}[^\p{{L}}\p{{N}}]*$"
-    bare = F.regexp_replace(low, edge, "")
-    form = F.translate(F.regexp_replace(bare, r"[^\p{L}]+", ""), ACCENTED + "ß", PLAIN + "s")
-    return F.when(line.rlike(r"\p{L}") & ~is_page_number(line) & (F.length(form) > 1), form)
-
-
-def lines_of(blocks: DataFrame, source: str, page: str, key: str, content: str) -> DataFrame:
-    """source, page, block_id, line_no, line of every line of every block; lines end with LF or CRLF."""
-    return blocks.where(F.col(content).isNotNull()).select(
-        F.col(source).alias("source"), F.col(page).alias("page"), F.col(key).alias("block_id"), F.posexplode(F.split(F.col(content), "\r?\n")).alias("line_no", "line")
-    )
-
-
-def _branches(forms: DataFrame, *carry: str) -> DataFrame:
-    return forms.select(
-        "source", *carry, F.explode(F.array(F.concat(F.lit("^"), F.left("form", F.lit(BRANCH))), F.concat(F.lit("$"), F.right("form", F.lit(BRANCH))))).alias("branch")
-    )
-
-
-def templates(lines: DataFrame) -> DataFrame:
-    """(source, form, template) of the forms that stand on several pages or differ from such a form by a slot.
-
-    lines: source, page, form. Of the forms on several pages within reach the
-    one with most printings becomes the template.
+    return bool(_ONLY_NUMBER.match(line.lower()))
+
+
+def line_form(line: str) -> str | None:
+    """The folded form of a line; None where no letters are left or the line is only a page number."""
+    low = line.lower()
+    if len(low) < 40 and _ONLY_NUMBER.match(low):
+        return None
+    if m := _AT_START.match(low):
+        low = low[m.end() :]
+    tail = low[-_TAIL:]
+    if m := _AT_END.search(tail):
+        low = low[: len(low) - len(tail) + m.start()]
+    form = _NO_LETTERS.sub("", low)
+    if not form.isascii():
+        form = form.translate(_FOLD)
+    return form if len(form) > 1 else None
+
+
+def lines_of(blocks: DataFrame, source: str, page: str, key: str, content: str, stretch: int = STRETCH) -> DataFrame:
+    """source, stretch, page, block_id, line_no, form of every line with a form; lines end with LF or CRLF."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, no, form = [], [], []
+            for i, text in enumerate(b.column(3).to_pylist()):
+                for k, line in enumerate(text.split("\n")):
+                    if f := line_form(line):
+                        of.append(i)
+                        no.append(k)
+                        form.append(f)
+            rows = pa.array(of, pa.int32())
+            at = b.column(1).take(rows)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(rows), pa.compute.floor(pa.compute.divide(at.cast(pa.float64()), float(stretch))).cast(pa.int64()), at, b.column(2).take(rows), pa.array(no, pa.int32()), pa.array(form, pa.string())],
+                ["source", "stretch", "page", "block_id", "line_no", "form"],
+            )
+
+    rows = blocks.where(F.col(content).isNotNull()).select(F.col(source).cast("string"), F.col(page).cast("long"), F.col(key).cast("string"), F.col(content))
+    return rows.mapInArrow(split, "source string, stretch long, page long, block_id string, line_no int, form string")
+
+
+def templates(lines: DataFrame, pages: DataFrame, least_pages: int, share: float) -> DataFrame:
+    """(source, base, base_pages): forms that may be templates.
+
+    Forms repeated within a stretch are counted over their source. A form on the
+    needed number of pages is repeated in one of the stretches, so none is missed.
     """
-    forms = lines.groupBy("source", "form").agg(F.min("page").alias("_a"), F.max("page").alias("_b"), F.count("*").alias("n"))
-    bases = forms.where(F.col("_a") != F.col("_b")).select("source", F.col("form").alias("base"), F.col("n").alias("base_n"))
-    slots = forms.where(F.length("form") >= SHORT_FORM)
-    wide = _branches(bases.where(F.length("base") >= SHORT_FORM).withColumn("form", F.col("base")), "base", "base_n")
-    reach = F.when(F.length("base") >= LONG_FORM, 2).otherwise(1)
-    near = (
-        _branches(slots, "form", "n")
-        .join(wide, ["source", "branch"])
-        .where((F.abs(F.length("form") - F.length("base")) <= reach) & (F.col("base_n") >= F.col("n")))
-        .where((F.col("form") == F.col("base")) | F.levenshtein("form", "base", 2).between(0, reach))
-        .select("source", "form", "base", "base_n")
-    )
-    short = bases.where(F.length("base") < SHORT_FORM).select("source", F.col("base").alias("form"), "base", "base_n")
-    return near.unionByName(short).groupBy("source", "form").agg(F.max(F.struct("base_n", "base")).alias("_t")).select("source", "form", F.col("_t.base").alias("template"))
+    local = lines.groupBy("source", "stretch", "form").agg(F.min("page").alias("_a"), F.max("page").alias("_b"), F.count("*").alias("n")).where(F.col("_a") != F.col("_b"))
+    whole = local.groupBy("source", "form").agg(F.sum("n").alias("base_pages")).where(F.col("base_pages") >= 2).withColumnRenamed("form", "base")
+    need = F.greatest(F.lit(least_pages), F.col("_pages") * share) / BASE_PART
+    return whole.join(pages, "source").where(F.col("base_pages") >= need).select("source", "base", "base_pages")
 
 
 def repeated_lines(
-    blocks: DataFrame, source: str = "book_id", page: str = "page_index", key: str = "id", content: str = "content", least_pages: int = 6, share: float = 1 / 6
+    blocks: DataFrame, source: str = "book_id", page: str = "page_index", key: str = "id", content: str = "content", least_pages: int = 6, share: float = 1 / 6, stretch: int = STRETCH
 ) -> DataFrame:
     """block_id, line_no, template of every printing of a line repeated excessively in its source.
 
@@ -93,13 +114,21 @@ def repeated_lines(
     result; other columns are not looked at.
     """
     placed = blocks.where(F.col(source).isNotNull() & F.col(page).isNotNull())
-    lines = lines_of(placed, source, page, key, content).withColumn("form", line_form(F.col("line"))).where(F.col("form").isNotNull())
-    known = templates(lines.select("source", "page", "form"))
-    printed = lines.select("source", "page", "block_id", "line_no", "form").join(known, ["source", "form"])
-    pages = placed.select(F.col(source).alias("source"), F.col(page).alias("page")).distinct().groupBy("source").agg(F.count("*").alias("_pages"))
+    lines = cut(lines_of(placed, source, page, key, content, stretch))
+    per_page = placed.select(F.col(source).cast("string").alias("source"), F.col(page).cast("long").alias("page")).distinct().withColumn("stretch", F.floor(F.col("page") / stretch))
+    per_stretch = per_page.groupBy("source", "stretch").agg(F.count("*").alias("_n"))
+    pages = per_stretch.groupBy("source").agg(F.sum("_n").alias("_pages"))
+    bases = templates(lines, pages, least_pages, share)
+    sent = per_stretch.select("source", "stretch").join(bases, "source")
+    reach = F.when(F.length("base") >= LONG_FORM, 2).when(F.length("base") >= SHORT_FORM, 1).otherwise(0)
+    branch = (F.left("form", F.lit(BRANCH)) == F.left("base", F.lit(BRANCH))) | (F.right("form", F.lit(BRANCH)) == F.right("base", F.lit(BRANCH)))
+    slot = (F.abs(F.length("form") - F.length("base")) <= reach) & branch & F.levenshtein("form", "base", 2).between(0, reach)
+    same = F.col("form") == F.col("base")
+    met = lines.join(sent.hint("shuffle_hash"), ["source", "stretch"]).where(same | slot)
+    printed = cut(met.groupBy("source", "page", "block_id", "line_no").agg(F.max(F.struct("base_pages", "base")).alias("_t")).select("source", "page", "block_id", "line_no", F.col("_t.base").alias("template")))
     covered = printed.select("source", "template", "page").distinct().groupBy("source", "template").agg(F.count("*").alias("_on"))
     heavy = covered.where(F.col("_on") >= least_pages).join(pages, "source").where(F.col("_on") >= F.col("_pages") * F.lit(share)).select("source", "template")
-    return printed.join(heavy, ["source", "template"], "left_semi").select("block_id", "line_no", "template").distinct()
+    return printed.join(heavy, ["source", "template"], "left_semi").select("block_id", "line_no", "template")
 
 
 def without_lines(blocks: DataFrame, found: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
