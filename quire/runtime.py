@@ -61,6 +61,21 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """cut() to a table bucketed by keys: aggregations and joins on them need no further shuffle.
+
+    The one shuffle is here; each of its tasks writes one bucket.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"cut_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    df.repartition(n, *keys).write.format("parquet").option("path", path).bucketBy(n, *keys).saveAsTable(name)
+    out = spark.table(name)
+    out._quire_path = path
+    return out
+
+
 def release(df: DataFrame) -> None:
     """Remove the table behind a cut() that no later plan reads."""
     path = getattr(df, "_quire_path", None)
