@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.fold import ACCENTED, PLAIN
-from quire.runtime import cut
+from quire.runtime import cut, cut_bucketed
 
 #: Letters of a branch key; pages of a stretch.
 BRANCH, STRETCH = 8, 256
@@ -91,15 +91,16 @@ def lines_of(blocks: DataFrame, source: str, page: str, key: str, content: str,
 
 
 def templates(lines: DataFrame, pages: DataFrame, least_pages: int, share: float) -> DataFrame:
-    """(source, base, base_pages): forms that may be templates.
+    """(_source, base, base_pages): forms that may be templates.
 
     Forms repeated within a stretch are counted over their source. A form on the
     needed number of pages is repeated in one of the stretches, so none is missed.
     """
-    local = lines.groupBy("source", "stretch", "form").agg(F.min("page").alias("_a"), F.max("page").alias("_b"), F.count("*").alias("n")).where(F.col("_a") != F.col("_b"))
-    whole = local.groupBy("source", "form").agg(F.sum("n").alias("base_pages")).where(F.col("base_pages") >= 2).withColumnRenamed("form", "base")
+    renamed = lines.select(F.col("source").alias("_source"), F.col("stretch").alias("_stretch"), F.col("form").alias("base"), F.col("page").alias("_at"))
+    local = renamed.groupBy("_source", "_stretch", "base").agg(F.min("_at").alias("_a"), F.max("_at").alias("_b"), F.count("*").alias("n")).where(F.col("_a") != F.col("_b"))
+    whole = local.groupBy("_source", "base").agg(F.sum("n").alias("base_pages")).where(F.col("base_pages") >= 2)
     need = F.greatest(F.lit(least_pages), F.col("_pages") * share) / BASE_PART
-    return whole.join(pages, "source").where(F.col("base_pages") >= need).select("source", "base", "base_pages")
+    return whole.join(pages, F.col("_source") == F.col("source")).where(F.col("base_pages") >= need).select("_source", "base", "base_pages")
 
 
 def repeated_lines(
@@ -114,17 +115,18 @@ def repeated_lines(
     result; other columns are not looked at.
     """
     placed = blocks.where(F.col(source).isNotNull() & F.col(page).isNotNull())
-    lines = cut(lines_of(placed, source, page, key, content, stretch))
+    # one shuffle serves the counting of forms and, with the templates sent to each stretch, the matching
+    lines = cut_bucketed(lines_of(placed, source, page, key, content, stretch), "source", "stretch")
     per_page = placed.select(F.col(source).cast("string").alias("source"), F.col(page).cast("long").alias("page")).distinct().withColumn("stretch", F.floor(F.col("page") / stretch))
     per_stretch = per_page.groupBy("source", "stretch").agg(F.count("*").alias("_n"))
     pages = per_stretch.groupBy("source").agg(F.sum("_n").alias("_pages"))
     bases = templates(lines, pages, least_pages, share)
-    sent = per_stretch.select("source", "stretch").join(bases, "source")
+    sent = per_stretch.select(F.col("source").alias("_to"), F.col("stretch").alias("_part")).join(bases, F.col("_to") == F.col("_source")).drop("_source")
     reach = F.when(F.length("base") >= LONG_FORM, 2).when(F.length("base") >= SHORT_FORM, 1).otherwise(0)
     branch = (F.left("form", F.lit(BRANCH)) == F.left("base", F.lit(BRANCH))) | (F.right("form", F.lit(BRANCH)) == F.right("base", F.lit(BRANCH)))
     slot = (F.abs(F.length("form") - F.length("base")) <= reach) & branch & F.levenshtein("form", "base", 2).between(0, reach)
     same = F.col("form") == F.col("base")
-    met = lines.join(sent.hint("shuffle_hash"), ["source", "stretch"]).where(same | slot)
+    met = lines.join(sent.hint("shuffle_hash"), (F.col("source") == F.col("_to")) & (F.col("stretch") == F.col("_part"))).where(same | slot)
     printed = cut(met.groupBy("source", "page", "block_id", "line_no").agg(F.max(F.struct("base_pages", "base")).alias("_t")).select("source", "page", "block_id", "line_no", F.col("_t.base").alias("template")))
     covered = printed.select("source", "template", "page").distinct().groupBy("source", "template").agg(F.count("*").alias("_on"))
     heavy = covered.where(F.col("_on") >= least_pages).join(pages, "source").where(F.col("_on") >= F.col("_pages") * F.lit(share)).select("source", "template")
