@@ -24,7 +24,7 @@ _ZONES = {
 
 def squeeze(c: Column) -> Column:
     """Runs of white space (no-break blanks too) to one blank, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(c, r"[\s\x{00A0}]+", " "))
 
 
 def clean_content(c: Column) -> Column:

@@ -76,7 +76,7 @@ def repeated_sentences(c: Column) -> Column:
 def anomaly_flags(pairs: DataFrame, least_ratio: float = 0.5, most_residual: int = 8) -> DataFrame:
     """Anomalies of single pairs in the form of parity_flags; an empty target has no other anomaly."""
     s, t = F.col("source_text"), F.col("target")
-    empty = F.regexp_replace(t, r"[\s　 ]+", "") == ""
+    empty = F.regexp_replace(t, r"[\s\x{3000}\x{00A0}]+", "") == ""
     lost = F.filter(tx.capitalized_runs(s), lambda x: ~tx.span_survives(x, t))
 
     def flag(name: str, when: Column, severity: str = "flag") -> Column:
@@ -97,7 +97,7 @@ def anomaly_flags(pairs: DataFrame, least_ratio: float = 0.5, most_residual: int
 
 def duplicate_flags(pairs: DataFrame, more_than: int = 2) -> DataFrame:
     """Pairs whose target stands on more than two segments; counted per text, joined back."""
-    texts = pairs.where(F.regexp_replace("target", r"[\s　 ]+", "") != "")
+    texts = pairs.where(F.regexp_replace("target", r"[\s\x{3000}\x{00A0}]+", "") != "")
     many = texts.groupBy("target").agg(F.count("*").cast("int").alias("actual")).where(F.col("actual") > more_than)
     return texts.join(many, "target").select(
         "segment_id", F.lit("qa-3").alias("stage"), F.lit("duplicate").alias("check"), F.lit("flag").alias("severity"), F.lit(1).alias("expected"), "actual"
