@@ -85,10 +85,13 @@ def release(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def spread(df: DataFrame, per_partition_rows: int = 0) -> DataFrame:
-    """Round-robin rows over at least as many partitions as the session has cores to work with."""
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over at least as many partitions as there are cores; one that has them already stays as it is.
+
+    For scans before costly Python functions: a small file is one partition.
+    """
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(2, n))
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
 def blank_to_null(c: Column) -> Column:
