@@ -52,7 +52,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
         F.lit(PLANTED[0]).alias("target_lang"),
         F.lit(PLANTED[1]).alias("lang"),
     )
-    log = translation_pairs(table(spark, d, "translations"), table(spark, d, "segments"), table(spark, d, "books"))
+    log = translation_pairs(spread(table(spark, d, "translations")), table(spark, d, "segments"), table(spark, d, "books"))
     return log.unionByName(planted)
 
 
