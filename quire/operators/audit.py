@@ -29,11 +29,18 @@ def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
-def parity_flags(pairs: DataFrame) -> DataFrame:
-    """segment_id, stage, check, severity, expected, actual of every count that differs.
+def _flag(stage: str, name: Column, severity: Column, expected: Column, actual: Column, when: Column) -> Column:
+    return F.when(
+        when,
+        F.struct(F.lit(stage).alias("stage"), name.alias("check"), severity.alias("severity"), expected.cast("int").alias("expected"), actual.cast("int").alias("actual")),
+    )
+
 
-    pairs: segment_id, kind, source_text, target. The structural family gives at
-    most one row, named after the first of its classes that differs.
+def parity_array() -> Column:
+    """Flags of every count that differs, as an array of (stage, check, severity, expected, actual).
+
+    Over the columns kind, source_text, target. The structural family gives at
+    most one flag, named after the first of its classes that differs.
     """
     s, t = F.col("source_text"), F.col("target")
 
@@ -41,7 +48,7 @@ def parity_flags(pairs: DataFrame) -> DataFrame:
         return count(s, pattern), count(t, pattern)
 
     def flag(name: str, left: Column, right: Column, when: Column) -> Column:
-        return F.when(when, F.struct(F.lit(name).alias("check"), left.cast("int").alias("expected"), right.cast("int").alias("actual")))
+        return _flag("qa-1", F.lit(name), F.lit("high" if name in HIGH else "flag"), left, right, when)
 
     (sn, tn), (su, tu), (sf, tf) = both(FOOTNOTE_REF), both(URL), both(FORMULA)
     ss, ts = both(STRUCTURAL)
@@ -54,7 +61,7 @@ def parity_flags(pairs: DataFrame) -> DataFrame:
     roman = [F.size(tx.roman_tokens(x)) for x in (s, t)]
     pipes = [count(x, r"\|") for x in (s, t)]
     flags = [
-        F.when(family, F.struct(first.alias("check"), ss.cast("int").alias("expected"), ts.cast("int").alias("actual"))),
+        _flag("qa-1", first, F.lit("high"), ss, ts, family),
         flag("urls", F.size(tx.urls(s)), F.size(tx.urls(t)), sets_differ & ~named("urls")),
         flag("footnotes", sn, tn, (sn != tn) & ~named("footnotes")),
         flag("formulas", sf, tf, (sf != tf) & ~named("formulas")),
@@ -63,8 +70,12 @@ def parity_flags(pairs: DataFrame) -> DataFrame:
         flag("roman_numerals", *roman, roman[0] != roman[1]),
         flag("table_delimiters", *pipes, (F.col("kind") == "table") & (pipes[0] != pipes[1])),
     ]
-    rows = pairs.select("segment_id", F.inline(F.array_compact(F.array(*flags))))
-    return rows.select("segment_id", F.lit("qa-1").alias("stage"), "check", F.when(F.col("check").isin(HIGH), "high").otherwise("flag").alias("severity"), "expected", "actual")
+    return F.array_compact(F.array(*flags))
+
+
+def parity_flags(pairs: DataFrame) -> DataFrame:
+    """segment_id, stage, check, severity, expected, actual of every count that differs; pairs: segment_id, kind, source_text, target."""
+    return pairs.select("segment_id", F.inline(parity_array()))
 
 
 def repeated_sentences(c: Column) -> Column:
@@ -73,26 +84,23 @@ def repeated_sentences(c: Column) -> Column:
     return F.filter(F.array_distinct(parts), lambda x: F.size(F.filter(parts, lambda y: y == x)) >= 3)
 
 
-def anomaly_flags(pairs: DataFrame, least_ratio: float = 0.5, most_residual: int = 8) -> DataFrame:
-    """Anomalies of single pairs in the form of parity_flags; an empty target has no other anomaly."""
+def anomaly_array(least_ratio: float = 0.5, most_residual: int = 8) -> Column:
+    """Anomalies of single pairs in the form of parity_array; an empty target has no other anomaly."""
     s, t = F.col("source_text"), F.col("target")
     empty = F.regexp_replace(t, r"[\s\x{3000}\x{00A0}]+", "") == ""
     lost = F.filter(tx.capitalized_runs(s), lambda x: ~tx.span_survives(x, t))
 
     def flag(name: str, when: Column, severity: str = "flag") -> Column:
-        return F.when(when, F.struct(F.lit(name).alias("check"), F.lit(severity).alias("severity"), F.lit(1).alias("expected"), F.lit(0).alias("actual")))
+        return _flag("qa-3", F.lit(name), F.lit(severity), F.lit(1), F.lit(0), when)
 
-    flags = [
+    return F.array_compact(F.array(
         flag("empty", empty, "high"),
         flag("length_ratio", ~empty & (F.length(s) > 0) & (F.length(t) / F.length(s) < least_ratio)),
         flag("short", ~empty & (F.length(t) < 8) & (F.length(s) > 64)),
         flag("residual", ~empty & (tx.residual_run(t) > most_residual)),
         flag("proper_noun", ~empty & (F.size(lost) > 0)),
         flag("repeated_sentence", ~empty & (F.size(repeated_sentences(t)) > 0)),
-    ]
-    return pairs.select("segment_id", F.inline(F.array_compact(F.array(*flags)))).select(
-        "segment_id", F.lit("qa-3").alias("stage"), "check", "severity", "expected", "actual"
-    )
+    ))
 
 
 def duplicate_flags(pairs: DataFrame, more_than: int = 2) -> DataFrame:
@@ -104,20 +112,16 @@ def duplicate_flags(pairs: DataFrame, more_than: int = 2) -> DataFrame:
     )
 
 
-def footnote_missing(pairs: DataFrame, parity: DataFrame) -> DataFrame:
-    """Pairs that lost footnote marks and have no parity flag of any kind."""
+def footnote_missing(parity: Column) -> Column:
+    """Lost footnote marks of a pair that has no parity flag of any kind, as an array of at most one flag."""
     s, t = count(F.col("source_text"), FOOTNOTE_REF), count(F.col("target"), FOOTNOTE_REF)
-    return (
-        pairs.where(s > t)
-        .join(parity.select("segment_id").distinct(), "segment_id", "left_anti")
-        .select("segment_id", F.lit("qa-3").alias("stage"), F.lit("footnote_missing").alias("check"), F.lit("high").alias("severity"), s.cast("int").alias("expected"), t.cast("int").alias("actual"))
-    )
+    return F.array_compact(F.array(_flag("qa-3", F.lit("footnote_missing"), F.lit("high"), s, t, (s > t) & (F.size(parity) == 0))))
 
 
 def all_flags(pairs: DataFrame) -> DataFrame:
-    """Flags of all stages."""
-    parity = parity_flags(pairs)
-    return parity.unionByName(anomaly_flags(pairs)).unionByName(duplicate_flags(pairs)).unionByName(footnote_missing(pairs, parity))
+    """Flags of all stages: those of single pairs in one pass, duplicates by an aggregate over the targets."""
+    single = pairs.withColumn("_parity", parity_array()).select("segment_id", F.inline(F.concat("_parity", anomaly_array(), footnote_missing(F.col("_parity")))))
+    return single.unionByName(duplicate_flags(pairs))
 
 
 def replace_stage(flags: DataFrame, fresh: DataFrame, stage: str) -> DataFrame:

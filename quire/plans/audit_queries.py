@@ -14,16 +14,13 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "segments").select("id", "book_id", "source_hash", "kind", "source_text", "page_json", "parent_node_id", "level", "translatable").dropDuplicates(["id"])
 
 
-def _log(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "translations").select("segment_id", "record_no", "source_hash", "translated_text", "status", "attempt", F.col("metadata.prompt_version").alias("prompt_version"), F.col("metadata.context_mode").alias("context_mode"))
-
-
-def _last(spark: SparkSession, d: str) -> DataFrame:
-    return inc.latest(_log(spark, d), "segment_id", "record_no")
+def _last(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Latest log rows with the columns asked for; what is not asked for is not read."""
+    return inc.latest(table(spark, d, "translations").select("segment_id", "record_no", "source_hash", "status", *more), "segment_id", "record_no")
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = inc.current(_segments(spark, d), _last(spark, d))
+    rows = inc.current(_segments(spark, d), _last(spark, d, "translated_text"))
     return rows.select("segment_id", "kind", F.coalesce("source_text", F.lit("")).alias("source_text"), F.coalesce("translated_text", F.lit("")).alias("target"))
 
 
@@ -78,7 +75,7 @@ def triage_queue(spark, d):
 
 def lww_compaction(spark, d):
     """Latest log row of each segment."""
-    return _last(spark, d).select("segment_id", "record_no", "status", "attempt", "source_hash")
+    return _last(spark, d, "attempt").select("segment_id", "record_no", "status", "attempt", "source_hash")
 
 
 def pending_work(spark, d):
@@ -125,7 +122,7 @@ def context_windows(spark, d):
 def previous_tail(spark, d):
     """End of the translation before each segment of its parent node."""
     seg = _segments(spark, d).where("parent_node_id is not null").select("id", "parent_node_id", "page_json", "source_hash")
-    last = _last(spark, d).where("status = 'completed'").select(F.col("segment_id").alias("id"), "source_hash", "translated_text")
+    last = _last(spark, d, "translated_text").where("status = 'completed'").select(F.col("segment_id").alias("id"), "source_hash", "translated_text")
     return inc.previous_tail(seg.join(last, ["id", "source_hash"], "left"), "parent_node_id", ["page_json", "id"])
 
 
