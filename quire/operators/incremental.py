@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.runtime import numbered
+
 
 def latest(log: DataFrame, key: str, seq: str) -> DataFrame:
     """The last row of each key by sequence; aggregated before the shuffle, so a hot key costs nothing."""
@@ -49,8 +51,8 @@ def coverage(segments: DataFrame, last: DataFrame) -> DataFrame:
 def target_prefix(todo: DataFrame, last: DataFrame, target: int) -> DataFrame:
     """The first rows of pending work by id, as many as the target lacks; a planning limit."""
     done = last.agg(F.count_if(F.col("status") == "completed").alias("_done"))
-    w = Window.orderBy("id")
-    return todo.select("id").withColumn("place", F.row_number().over(w)).crossJoin(F.broadcast(done)).where(F.col("place") <= F.greatest(F.lit(0), F.lit(target) - F.col("_done"))).select("id", "place")
+    placed = numbered(todo.select("id"), "id")
+    return placed.crossJoin(F.broadcast(done)).where(F.col("place") <= F.greatest(F.lit(0), F.lit(target) - F.col("_done"))).select("id", F.col("place").cast("int").alias("place"))
 
 
 def stale_dependencies(rows: DataFrame, versions: DataFrame, hashes: DataFrame, prompt_version: str, mode: str) -> DataFrame:
@@ -124,5 +126,4 @@ def batch_summary(batches: DataFrame) -> DataFrame:
 
 def chunks(rows: DataFrame, order: list[str], size: int) -> DataFrame:
     """rows with chunk and place: chunks of a fixed size in order."""
-    w = Window.orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w) - 1).withColumns({"chunk": F.floor(F.col("_n") / size).cast("int"), "place": (F.col("_n") % size).cast("int")}).drop("_n")
+    return numbered(rows, *order, name="_r").withColumn("_n", F.col("_r") - 1).drop("_r").withColumns({"chunk": F.floor(F.col("_n") / size).cast("int"), "place": (F.col("_n") % size).cast("int")}).drop("_n")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
+from quire.runtime import numbered
 
 WORD = r"[A-Za-zÀ-ÖØ-öø-ÿĀ-ž][A-Za-zÀ-ÖØ-öø-ÿĀ-ž’'\-]{2,}"
 #: Words no term begins or ends with, headings that are no terms, tiers of the signals.
@@ -96,8 +97,9 @@ def tier(reasons: Column) -> Column:
 def candidate_queue(mined: DataFrame, limit: int = 80) -> DataFrame:
     """norm, place of the first candidates by tier, score, occurrences; a limit of 0 keeps all."""
     order = [tier(F.col("reasons")), F.desc("score"), F.desc("occurrences"), F.col("norm")]
-    top = mined.orderBy(*order).limit(limit) if limit > 0 else mined
-    return top.select("norm", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    if limit > 0:
+        return mined.orderBy(*order).limit(limit).select("norm", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    return numbered(mined, *order).select("norm", F.col("place").cast("int").alias("place"))
 
 
 def matches(terms: DataFrame, segments: DataFrame) -> DataFrame:
