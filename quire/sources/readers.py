@@ -85,6 +85,8 @@ class _Blocks(HTMLParser):
     """Tolerant block extractor: the outermost block wins, unclosed tags end with the next block."""
 
     KINDS = {"p": "paragraph", "li": "list_item", "blockquote": "quote", "figcaption": "caption", "caption": "caption", "dt": "definition", "dd": "definition_body", "td": "table_cell", "th": "table_cell", "pre": "code"}
+    ENDS = {"ul", "ol", "dl", "table", "tr", "body", "section", "div"}
+    INNER = {"li", "dt", "dd", "td", "th", "p"}
     SKIP = {"script", "style", "noscript", "template", "math", "svg"}
 
     def __init__(self) -> None:
@@ -139,6 +141,8 @@ class _Blocks(HTMLParser):
             self.skip -= 1
         elif tag == "title":
             self.in_title = False
+        elif self.now and tag in self.ENDS and self.now[3] in self.INNER:
+            self._close()
         elif self.now and (tag == self.now[3] or self.now[3] == "h" and (tag[:1] == "h" or tag in ("p", "div"))):
             self._close()
 

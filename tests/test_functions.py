@@ -41,7 +41,7 @@ def test_numbering(spark, title, want):
 
 def test_lists_and_pairs(spark):
     assert one(spark, tx.roman_tokens, "In XIV and IIII, 第II军") == ["XIV", "II"] and one(spark, tx.urls, "see https://a.b/c. and http://x") == ["https://a.b/c", "http://x"]
-    assert one(spark, tx.capitalized_runs, "The Old Bridge of New York and Great Stone Gate.") == ["Old Bridge", "Great Stone Gate"] or "Great Stone Gate" in one(spark, tx.capitalized_runs, "The Old Bridge and Great Stone Gate.")
+    assert one(spark, tx.capitalized_runs, "The Old Bridge of New York and Great Stone Gate.") == ["Old Bridge", "Great Stone Gate"]
     assert one(spark, tx.span_survives, "Great Stone Gate", "a Stone Gate b") and not one(spark, tx.span_survives, "Great Stone", "great stone")
     assert one(spark, lambda c: tx.heading_identity(c), "第十二章 起源").ordinal == 12 and one(spark, lambda c: tx.heading_identity(c), "Teil II").kind == "part"
     assert one(spark, tx.replace_marker, "a $^{3}$ b ③", 3, "[^x]") == "a [^x] b ③" and one(spark, tx.replace_marker, "none", 3, "[^x]") == "none"
