@@ -12,9 +12,11 @@ else is visited. They are ranked by edits, then by the words beside them, then b
 how common they are; a word counts as misread only if confusions alone lead to the
 best candidate and it is far more common.
 
-Page furniture: records of one book and a stretch of pages meet in one group; the
-forms of its running lines come from header, footer, aside and title blocks there
-and from blocks of one line repeated on its pages. An Aho-Corasick automaton over the folded
+Page furniture: the forms of running lines come from header, footer, aside and title
+blocks of a stretch of pages and from blocks of one line repeated on its pages. Records
+of one book and stretch meet in one group with the forms of that stretch and both beside
+it; a record without a page meets all forms of its book of which its text holds the
+beginning of a part. An Aho-Corasick automaton over the folded
 forms and their halves finds them in lines and in collapsed text alike; a half is
 confirmed by aligning the rest of the form. The stretch bounds the group, whatever the book's size.
 """
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -43,8 +45,8 @@ BREAK_MARKS = "-¬­‐‑–⁃"
 RUNNING_LABELS = ("header", "footer", "aside_text", "doc_title", "paragraph_title")
 #: Pages of one group; share of all words that makes a word of the vocabulary; how much more common the right word is.
 _MARKS = re.escape(BREAK_MARKS)
-#: Pages at the end of a stretch whose running lines the next stretch is told too.
-NEAR_PAGES = 8
+#: Letters of the shortest form, and of the grams by which forms and texts without a page meet.
+LEAST_FORM = 9
 #: Pieces without unknown tokens that a worker remembers; others are looked at again.
 PLAIN_PIECES = 500_000
 STRETCH, WORD_SHARE, MORE_COMMON = 48, 1e-5, 12
@@ -215,29 +217,34 @@ class Reader:
         return b not in ("and", "und", "et", "or", "oder", "ou", "bis", "to")
 
 
+def running_forms(lines: list[tuple[str, int, str]]) -> set[str]:
+    """Folded forms of the running lines of a stretch of pages; lines: text, page, label."""
+    forms: set[str] = set()
+    alone: set[str] = set()
+    pages: dict[str, set[int]] = defaultdict(set)
+    for line, page, label in lines:
+        if len(line) < LEAST_FORM:
+            continue
+        f = fold(line)
+        if len(f) < LEAST_FORM:
+            continue
+        if label in RUNNING_LABELS:
+            forms.add(f)
+        elif label == "alone":
+            alone.add(f)
+        pages[f].add(page)
+    total = len({p for s in pages.values() for p in s}) or 1
+    # a sentence's beginning may fill a line on many pages, but never a block of its own
+    return forms | {f for f in alone if len(pages[f]) >= max(4, total / 7)}
+
+
 class Furniture:
-    """Running lines of a stretch of pages."""
+    """Running lines by their folded forms."""
 
-    def __init__(self, lines: list[tuple[str, int, str]]):
+    def __init__(self, forms: Iterable[str]):
         import ahocorasick
 
-        forms: set[str] = set()
-        alone: set[str] = set()
-        pages: dict[str, set[int]] = defaultdict(set)
-        for line, page, label in lines:
-            if len(line) < 9:
-                continue
-            f = fold(line)
-            if len(f) < 9:
-                continue
-            if label in RUNNING_LABELS:
-                forms.add(f)
-            elif label == "alone":
-                alone.add(f)
-            pages[f].add(page)
-        total = len({p for s in pages.values() for p in s}) or 1
-        # a sentence's beginning may fill a line on many pages, but never a block of its own
-        forms |= {f for f in alone if len(pages[f]) >= max(4, total / 7)}
+        forms = set(forms)
         self.forms = forms
         self.auto = ahocorasick.Automaton() if forms else None
         parts: dict[str, list[tuple[str, int]]] = defaultdict(list)
@@ -431,6 +438,45 @@ def reflow(text: str, found: dict, reader: Reader) -> str:
     return "\n\n".join(x for p in paragraphs if (x := re.sub(r"\s+", " ", p).strip()))
 
 
+def _forms_told(blocks: DataFrame, rows: DataFrame) -> DataFrame:
+    """(book, stretch, form): the running lines that each group is told.
+
+    A stretch of pages is told its own and those of both beside it. A group of records
+    without a page is told those of the whole book that can stand in its texts: a form
+    or a half of one is found only where its first letters are, so they meet by grams.
+    """
+
+    def group(p: pd.DataFrame) -> pd.DataFrame:
+        lines = []
+        for page, kind, text in p[["page", "kind", "text"]].itertuples(index=False):
+            several = text.splitlines()
+            lines += [(x, int(page), "alone" if len(several) == 1 and kind not in RUNNING_LABELS else kind) for x in several if x]
+        at = (p["book"].iloc[0], p["stretch"].iloc[0])
+        return pd.DataFrame([(*at, f) for f in sorted(running_forms(lines))], columns=["book", "stretch", "form"])
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, out = [], []
+            for i, text in enumerate(b.column(2).to_pylist()):
+                low = text.lower()
+                folded = _NO_LETTERS.sub("", low if len(low) == len(text) else text)
+                own = {folded[k : k + LEAST_FORM] for k in range(len(folded) - LEAST_FORM + 1)}
+                at += [i] * len(own)
+                out += own
+            take = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(out, pa.string())], ["book", "stretch", "gram"])
+
+    printed = blocks.where(F.col("page").isNotNull() & F.col("text").isNotNull() & (F.coalesce("kind", F.lit("")) != "number") & F.col("book").isNotNull())
+    forms = cut(printed.groupBy("book", "stretch").applyInPandas(group, "book string, stretch long, form string"))
+    near = forms.withColumn("stretch", F.explode(F.array(F.col("stretch") - 1, "stretch", F.col("stretch") + 1))).where("stretch >= 0")
+    half = F.floor(F.length("form") / 2).cast("int")
+    starts = F.when(F.length("form") >= 20, F.array(F.left("form", F.lit(LEAST_FORM)), F.substring("form", half + 1, F.lit(LEAST_FORM)))).otherwise(F.array(F.left("form", F.lit(LEAST_FORM))))
+    known = forms.select("book", "form").distinct().select("book", "form", F.explode(starts).alias("gram"))
+    loose = rows.where(F.col("page").isNull() & F.col("text").isNotNull() & ~F.coalesce("kind", F.lit("")).isin("heading", "table")).select("book", "stretch", "text")
+    met = loose.mapInArrow(grams, "book string, stretch long, gram string").join(known, ["book", "gram"]).select("book", "stretch", "form")
+    return near.unionByName(met).distinct()
+
+
 def scan_noise(
     blocks: DataFrame,
     segments: DataFrame | None,
@@ -443,8 +489,9 @@ def scan_noise(
     One row per text block and per segment of a book that has blocks; the other
     blocks only tell the running lines. Null and empty texts have no noise and stay
     as they are; repeated rows of a record count once; rows without a key are
-    left out; rows without a page are read without their neighbours. An empty table
-    gives an empty result; other columns are not looked at.
+    left out; rows without a page are told the running lines of their whole book, but
+    not the names beside them. An empty table gives an empty result; other columns are
+    not looked at.
     """
     spark = blocks.sparkSession
     b = blocks.where(F.col("id").isNotNull()).select(
@@ -466,19 +513,13 @@ def scan_noise(
         reader = _reader(shipped)
         p = p.drop_duplicates(["origin", "record_key"])
         is_block = p["origin"] == "blocks"
-        lines, offsets, names = [], Counter(), Counter()
-        for page, kind, text in p.loc[is_block, ["page", "kind", "text"]].itertuples(index=False):
-            if not isinstance(text, str) or page != page:
-                continue
-            if kind == "number":
-                if m := re.search(r"\d+", text):
-                    offsets[int(m.group()) - int(page)] += 1
-                continue
-            several = text.splitlines()
-            lines += [(x, int(page), "alone" if len(several) == 1 and kind not in RUNNING_LABELS else kind) for x in several if x]
+        offsets, names = Counter(), Counter()
+        for page, text in p.loc[is_block & (p["kind"] == "number"), ["page", "text"]].itertuples(index=False):
+            if isinstance(text, str) and page == page and (m := re.search(r"\d+", text)):
+                offsets[int(m.group()) - int(page)] += 1
         offset = offsets.most_common(1)[0][0] if offsets else 1
-        furniture = Furniture(lines)
-        keep = p[~is_block | (p["kind"] == "text")]
+        furniture = Furniture(p.loc[p["origin"] == "forms", "text"])
+        keep = p[(p["origin"] == "segments") | is_block & (p["kind"] == "text")]
         odd = [unknown_tokens(t, reader) if isinstance(t, str) else set() for t in keep["text"]]
         for tokens in odd:
             names.update(tokens)
@@ -493,11 +534,11 @@ def scan_noise(
         r = pd.DataFrame(out, columns=["origin", "record_key", "noise", "clean_text"])
         return r if with_text else r[["origin", "record_key", "noise"]]
 
-    # running lines near the end of a stretch are told to the one beside it too, which may have few pages of its own
-    head = F.col("kind").isin(*RUNNING_LABELS) & (F.col("origin") == "blocks") & (bucket >= 0)
-    place = F.col("page") % stretch
-    near = F.when(head & (place < NEAR_PAGES), F.array(bucket - 1, bucket)).when(head & (place >= stretch - NEAR_PAGES), F.array(bucket, bucket + 1)).otherwise(F.array(bucket))
-    return rows.withColumn("stretch", F.explode(near)).groupBy("book", "stretch").applyInPandas(group, schema)
+    placed = rows.withColumn("stretch", bucket)
+    told = _forms_told(b.withColumn("stretch", bucket), placed.where("origin = 'segments' or kind = 'text'"))
+    forms = told.select(F.lit("forms").alias("origin"), F.col("form").alias("record_key"), "book", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("kind"), F.col("form").alias("text"), "stretch")
+    judged = placed.where("origin = 'segments' or kind in ('text', 'number')")
+    return judged.unionByName(forms).groupBy("book", "stretch").applyInPandas(group, schema)
 
 
 _readers: dict[int, Reader] = {}

@@ -69,3 +69,18 @@ def test_pieces():
     assert roman(14) == "xiv" and aligned("abcdef", "abxdefgh", 1) == 6 and aligned("abc", "xyz", 2) == -1
     assert page_spans("The third table [12] shows 12 entries", 11, 1, [], False) == [(16, 20)]
     assert Furniture([]).spans("anything") == []
+
+
+def test_running_lines_of_the_whole_book(spark):
+    """Rows without a page know every running line of their book, and a stretch all of those beside it."""
+    far = [("f1", "bk", 20, "header", "Of the Salt Roads and their Keepers", "", ""), ("f2", "bk", 60, "text", "The garrison was closed.", "", "")]
+    seg = [
+        ("s1", "bk", None, "paragraph", "The register THE CHRONICLE OF LODLENVEL, NEW EDITION lists 439 entries.", 1),
+        ("s2", "bk", None, "paragraph", "The garrison Of the Salt Roads amd their Keepers was closed.", 1),
+        ("s3", "bk", None, "paragraph", "The garrison was closed.", 1),
+        ("s4", "bk", 60, "paragraph", "The garrison Of the Salt Roads and their Keepers was closed.", 1),
+        ("s5", "bk", None, "heading", "The Chronicle of Lodlenvel, new edition", 1),
+    ]
+    blocks, segments = frames(spark, far, seg)
+    noise = {r.record_key: r.noise for r in scan_noise(blocks, segments).where("origin = 'segments'").collect()}
+    assert all("running_line" in noise[k] for k in ("s1", "s2", "s4")) and noise["s3"] == noise["s5"] == []
