@@ -427,13 +427,15 @@ def without_furniture(text: str, spans: list[tuple[int, int]], page: int | None)
     return "".join(out)
 
 
-def reflow(text: str, found: dict, reader: Reader) -> str:
-    """The text without furniture, words joined and corrected, lines run together into paragraphs."""
+def reflow(text: str, found: dict, reader: Reader, rows: bool = False) -> str:
+    """The text without furniture, words joined and corrected, lines run together into paragraphs; rows: each line is a table's row and stays one."""
     t = without_furniture(text, found["running"] + found["numbers"], found["page"])
     t = _BREAK.sub(lambda m: m[1] + (m[2] or "") if m[2] and reader.broken(m[1], m[2]) else m[0], t)
     for bad, good in found["misread"].items():
         right = good.capitalize() if bad[:1].isupper() else good
         t = re.sub(rf"(?<!\w){re.escape(bad)}(?!\w)", right, t)
+    if rows:
+        return "\n".join(x for line in t.splitlines() if (x := re.sub(r"\s+", " ", line).strip()))
     paragraphs = re.split(r"\r?\n\s*\r?\n", t)
     return "\n\n".join(x for p in paragraphs if (x := re.sub(r"\s+", " ", p).strip()))
 
@@ -530,7 +532,7 @@ def scan_noise(
                 continue
             found = judge(text, None if page != page else int(page), offset, kind or "", reader, furniture, names, tokens)
             noise = [n for n, k in (("hyphen_break", "breaks"), ("misread", "misread"), ("running_line", "running"), ("page_number", "numbers")) if found[k]]
-            out.append((origin, key, noise, reflow(text, found, reader) if with_text and noise else text))
+            out.append((origin, key, noise, reflow(text, found, reader, kind == "table") if with_text else text))
         r = pd.DataFrame(out, columns=["origin", "record_key", "noise", "clean_text"])
         return r if with_text else r[["origin", "record_key", "noise"]]
 

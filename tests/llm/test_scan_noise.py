@@ -84,3 +84,11 @@ def test_running_lines_of_the_whole_book(spark):
     blocks, segments = frames(spark, far, seg)
     noise = {r.record_key: r.noise for r in scan_noise(blocks, segments).where("origin = 'segments'").collect()}
     assert all("running_line" in noise[k] for k in ("s1", "s2", "s4")) and noise["s3"] == noise["s5"] == []
+
+
+def test_text_without_noise_is_reflowed(spark):
+    extra = [("x1", "bk", 3, "text", "The northern garrison\r\nsupported the manuscript.\n\nThe window\nwas closed.", "", "")]
+    seg = [("s1", "bk", 4, "table", "| garrison | window |\n|---|---|\n| volume | 439 |", 1)]
+    rows = {r.record_key: r for r in scan_noise(*frames(spark, extra, seg), with_text=True).where("record_key in ('x1', 's1')").collect()}
+    assert rows["x1"].noise == [] and rows["x1"].clean_text == "The northern garrison supported the manuscript.\n\nThe window was closed."
+    assert rows["s1"].clean_text == seg[0][4]
