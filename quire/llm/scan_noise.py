@@ -6,11 +6,13 @@ so it can be broadcast. Misread forms common enough to slip in are taken out aga
 
 Candidates: a word that is not in the trie is intersected with it by a
 Levenshtein automaton whose steps are the known confusions of recognition (one
-character or pair read as another) and, on demand, single edits. It walks the
+character or pair read as another). It walks the
 trie and the word together, so all candidates within reach are found and nothing
-else is visited. They are ranked by edits, then by the words beside them, then by
-how common they are; a word counts as misread only if confusions alone lead to the
-best candidate and it is far more common.
+else is visited. They are ranked by confusions, then by whether they are among the
+words beside the misread one in its record, then by how common they are; a word
+counts as misread only if confusions alone lead to a candidate. The automaton can
+take single edits too (``Reader.ranked``), but the operator leaves them out: in a
+word that no vocabulary holds they mostly lead to another word.
 
 Page furniture: the forms of running lines come from header, footer, aside and title
 blocks of a stretch of pages and from blocks of one line repeated on its pages. Records
@@ -183,24 +185,33 @@ class Reader:
         self.known: set[str] = set(words) | {w.capitalize() for w in words} | {w.upper() for w in words}
         self.trie = Trie(words)
         self.plain: set[str] = set()
-        self.right = lru_cache(maxsize=200_000)(self._right)
-
-    def _right(self, token: str) -> str | None:
-        """The word a token was misread from, or None."""
+        self.candidates = lru_cache(maxsize=200_000)(self._candidates)
+
+    def right(self, token: str, text: str = "") -> str | None:
+        """The word a token was misread from, or None; of equally near ones the first that stands in the text beside it."""
+        got = self.candidates(token)
+        if len(got) > 1 and text:
+            beside = set(_WORD.findall(text.lower()))
+            return next((w for w in got if w in beside), got[0])
+        return got[0] if got else None
+
+    def _candidates(self, token: str) -> tuple[str, ...]:
+        """The nearest words a token can be misread from, the most common first."""
         low = token.lower()
         if low in self.words or re.fullmatch(r"\d+|\d+(?:v|r|er|st|nd|rd|th)|[A-Za-z]\d{1,3}|\d+", token):
-            return None
+            return ()
         got = self.trie.near(low, confusions=3 if len(low) > 6 else 2)
         if got and len(low) > 1:
-            best = min(got, key=lambda w: (got[w][1], -got[w][2]))
+            ranks = sorted(got, key=lambda w: (got[w][1], -got[w][2]))
+            best = ranks[0]
             if got[best][1] and len(best) > 1:
-                return best
+                return tuple(w for w in ranks if got[w][1] == got[best][1] and len(w) > 1)
         # a sign between letters of a name: no vocabulary can hold all names
         if re.fullmatch(r"[^\W\d_]+[015689|†!][a-zà-ÿ]+(?:['’]\w+)?|[^\W\d_]{3,}[156|†]", token) and not re.search(r"[A-Z]{2}", token) and (token[0].isupper()):
-            return "".join(dict(zip("015689|†!", "olsbbglt" + "l")).get(x, x) if i else x for i, x in enumerate(token))
+            return ("".join(dict(zip("015689|†!", "olsbbglt" + "l")).get(x, x) if i else x for i, x in enumerate(token)),)
         if re.search(r"[a-z]ï[a-z]|^[A-Z]ï[a-z]", token) and low not in self.words:
-            return token.replace("ï", "i")
-        return None
+            return (token.replace("ï", "i"),)
+        return ()
 
     def ranked(self, token: str, beside: set[str]) -> list[str]:
         """All candidates within two confusions or one edit, best first: edits, confusions, words beside, count."""
@@ -385,7 +396,7 @@ def judge(text: str, page: int | None, offset: int, kind: str, reader: Reader, f
             continue
         plain = t.isalpha()
         if plain and t[0].isupper() and not t.isupper() and t[1:].islower():
-            w = reader.right(t)
+            w = reader.right(t, text)
             if not w:
                 # a name: another one, far more common here, that a confusion leads to
                 for read, stood in CONFUSIONS[9:16]:
@@ -395,12 +406,12 @@ def judge(text: str, page: int | None, offset: int, kind: str, reader: Reader, f
                             w = other
                             break
         else:
-            w = reader.right(t)
+            w = reader.right(t, text)
         if w:
             misread[t] = w
     for m in breaks:
         joined = re.sub(rf"[{_MARKS}]\s*", "", m)
-        if joined not in reader.known and (w := reader.right(joined)):
+        if joined not in reader.known and (w := reader.right(joined, text)):
             misread[joined] = w
     return {"running": running, "numbers": numbers, "breaks": breaks, "misread": misread, "page": None if page is None else page + offset}
 

@@ -1,4 +1,6 @@
-from quire.llm.scan_noise import Furniture, Reader, Trie, aligned, page_spans, roman, scan_noise
+from collections import Counter
+
+from quire.llm.scan_noise import Furniture, Reader, Trie, aligned, judge, page_spans, roman, scan_noise
 
 BODY = "The northern garrison supported the manuscript of the second volume. The register lists 439 entries, and the window was closed. "
 B = "id string, book_id string, page_index int, label string, content string, origin string, noise string"
@@ -92,3 +94,9 @@ def test_text_without_noise_is_reflowed(spark):
     rows = {r.record_key: r for r in scan_noise(*frames(spark, extra, seg), with_text=True).where("record_key in ('x1', 's1')").collect()}
     assert rows["x1"].noise == [] and rows["x1"].clean_text == "The northern garrison supported the manuscript.\n\nThe window was closed."
     assert rows["s1"].clean_text == seg[0][4]
+
+
+def test_words_beside_decide_between_candidates():
+    reader = Reader({"dam": 9, "elam": 50, "the": 500, "held": 40})
+    found = [judge(t, None, 1, "paragraph", reader, Furniture([]), Counter(), {"clam"})["misread"] for t in ("The dam held, the clam held.", "The clam held.")]
+    assert found == [{"clam": "dam"}, {"clam": "elam"}] and reader.right("elan") is None
