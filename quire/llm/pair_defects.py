@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,6 +57,8 @@ _SCRIPTS = {
     "han": re.compile(r"[^㐀-䶿一-鿿豈-﫿]+"), "latin": re.compile(r"[^A-Za-zÀ-ɏḀ-ỿ]+"), "cyrillic": re.compile(r"[^Ѐ-ԯ]+"), "kana": re.compile(r"[^぀-ヿ]+"),
     "hangul": re.compile(r"[^가-힯]+"), "arabic": re.compile(r"[^؀-ۿ]+"), "greek": re.compile(r"[^Ͱ-Ͽ]+"), "hebrew": re.compile(r"[^֐-׿]+"), "devanagari": re.compile(r"[^ऀ-ॿ]+"), "thai": re.compile(r"[^฀-๿]+"),
 }
+#: Words of a response times repeated sources from which runs are told by an automaton instead of tiles.
+LONG_PAIR = 40_000
 #: Letters of an alphabet that say as much as one ideograph.
 LETTERS_PER_IDEOGRAPH = 3.4
 _NOT_WORDS = re.compile(r"(?s)https?://\S+|<[^<>]*>|\[\^[^\]]*\]|\\[a-zA-Z]+\*?(?:\[[^\]]*\])?|\]\([^)\s]*\)|\$[^$\n]*\$|```.*?```|\{\{[^{}]*\}\}|&#?\w+;|\S+@\S+|\S*[/\\_]\S*")
@@ -77,7 +80,7 @@ def is_empty(text: str | None) -> bool:
     if text is None:
         return True
     bare = _INVISIBLE.sub(" ", text).strip()
-    if not any(unicodedata.category(c)[0] in "LNS" for c in bare[:200]):
+    if not any(unicodedata.category(c)[0] in "LNS" for c in bare):
         return True
     core = re.sub(r"^[\[\](){}<>（）【】《》_*\-—…. ]+|[\[\](){}<>（）【】《》_*\-—…. ]+$", "", bare).lower()
     return len(bare) < 40 and (not core or core in PLACEHOLDERS)
@@ -97,6 +100,9 @@ def tiles(source: list[str], response: list[str], least: int = 3) -> int:
             if not open_r[j]:
                 continue
             for i in starts.get(tuple(response[j : j + least]), ()):
+                # a run that goes on to the left is never the longest
+                if i and j and source[i - 1] == response[j - 1] and open_s[i - 1] and open_r[j - 1]:
+                    continue
                 k = 0
                 while i + k < len(source) and j + k < len(response) and source[i + k] == response[j + k] and open_s[i + k] and open_r[j + k]:
                     k += 1
@@ -113,6 +119,50 @@ def tiles(source: list[str], response: list[str], least: int = 3) -> int:
                 covered += k
 
 
+def runs(source: list[str], response: list[str], times: int, least: int = 3) -> int:
+    """Words of the response covered, from its start, by the longest runs of the source; no word more often than so many times the source has it.
+
+    A suffix automaton of the source makes it linear in both, so it serves pairs too long for tiles().
+    """
+    step: list[dict[str, int]] = [{}]
+    link, length, last = [-1], [0], 0
+    for w in source:
+        new = len(step)
+        step.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        at = last
+        while at >= 0 and w not in step[at]:
+            step[at][w] = new
+            at = link[at]
+        if at >= 0:
+            to = step[at][w]
+            if length[to] > length[at] + 1:
+                twin = len(step)
+                step.append(dict(step[to]))
+                link.append(link[to])
+                length.append(length[at] + 1)
+                while at >= 0 and step[at].get(w) == to:
+                    step[at][w] = twin
+                    at = link[at]
+                link[to] = twin
+                to = twin
+            link[new] = to
+        last = new
+    covered: dict[str, int] = {}
+    j = 0
+    while j < len(response):
+        at, k = 0, j
+        while k < len(response) and (to := step[at].get(response[k])) is not None:
+            at, k = to, k + 1
+        if k - j >= least:
+            for w in response[j:k]:
+                covered[w] = covered.get(w, 0) + 1
+        j = k if k - j >= least else j + 1
+    room = Counter(source)
+    return sum(min(n, times * room[w]) for w, n in covered.items())
+
+
 def is_copy(source: str, response: str, share: float = 0.8) -> bool:
     """Whether the response is the source again, whole or nearly, once or several times."""
     s, r = _WORDS.findall(source.lower()), _WORDS.findall(response.lower())
@@ -124,9 +174,9 @@ def is_copy(source: str, response: str, share: float = 0.8) -> bool:
     if sum(w in known for w in r) < share * len(r):
         return False
     if len(s) < 3:
-        return "".join(s) == "".join(r)
+        return "".join(r) == "".join(s) * max(1, round(len(r) / len(s)))
     reps = max(1, round(len(r) / len(s)))
-    cover = tiles(s * min(reps, 4), r) if len(r) * reps < 40_000 else len(r)
+    cover = tiles(s * reps, r) if len(r) * reps < LONG_PAIR else runs(s, r, reps)
     return cover >= share * len(r) and cover >= 0.6 * len(s)
 
 

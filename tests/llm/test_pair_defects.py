@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm.pair_defects import defect_of, ends_inside, has_words, is_copy, is_empty, language_share, open_at_end, pair_defects, tiles
+from quire.llm.pair_defects import defect_of, ends_inside, has_words, is_copy, is_empty, language_share, open_at_end, pair_defects, runs, tiles
 
 EN = "The abbess supported the manuscript of the second volume. The register lists 12 entries, yet nobody read it."
 ZH = "女修道院长支持了第二卷的手稿。登记簿列有12个条目，然而无人阅读。"
@@ -59,3 +59,17 @@ def test_frame(spark):
     assert got.count() == 5 and pair_defects(df.limit(0)).count() == 0
     many = spark.createDataFrame([("k", EN * 4, ZH * 4, "zh", "")] * 30 + [("short", EN * 4, ZH[:15], "zh", "")], df.schema)
     assert [r.key for r in pair_defects(many).where(F.col("defect") == "truncated").collect()] == ["short"]
+
+
+def test_copies_of_any_number_and_length():
+    source = "The old harbour was closed to every ship before the winter came."
+    assert all(is_copy(source, " ".join([source] * n)) for n in (1, 4, 6, 12, 300))
+    long = [f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(41_000)]
+    assert not is_copy(" ".join(long), " ".join(long[::-1])) and is_copy(" ".join(long), " ".join(long[:20_000] + ["other"] + long[20_000:]))
+    assert is_copy("Old Harbour", "Old Harbour. Old Harbour.") and not is_copy("Old Harbour", "Harbour Old")
+    words = long[:60]
+    assert runs(words, words[30:] + ["x"] + words[:30], 1) == tiles(words, words[30:] + ["x"] + words[:30]) == 60 and runs(words, words[:5] * 3, 2) == 10
+
+
+def test_text_after_many_marks_is_not_empty():
+    assert not is_empty("." * 300 + " Der Hafen war geschlossen.") and is_empty("." * 300)
