@@ -180,8 +180,20 @@ def is_copy(source: str, response: str, share: float = 0.8) -> bool:
     return cover >= share * len(r) and cover >= 0.6 * len(s)
 
 
+def same_words(source: str, response: str) -> bool:
+    """Whether two texts are word for word the same; a look at the first words tells most of them apart."""
+    a, b = source.lower(), response.lower()
+    x, y = _WORDS.search(a), _WORDS.search(b)
+    return x is not None and y is not None and x.group() == y.group() and _WORDS.findall(a) == _WORDS.findall(b)
+
+
 def language_share(text: str, wanted: str) -> float | None:
     """Share of a text that is in the wanted language; None where nothing tells."""
+    return _language(text, wanted)[0]
+
+
+def _language(text: str, wanted: str) -> tuple[float | None, bool]:
+    """The share of language_share, and whether function words told it and not the script alone."""
     plain = _NOT_WORDS.sub(" ", text)
     counts = {k: len(p.sub("", plain)) for k, p in _SCRIPTS.items() if k in ("han", "latin")}
     if sum(counts.values()) < 0.6 * sum(map(len, _WORDS.findall(plain))) or wanted not in FUNCTION_WORDS and wanted != "zh":
@@ -193,11 +205,11 @@ def language_share(text: str, wanted: str) -> float | None:
     weight = {k: n * (LETTERS_PER_IDEOGRAPH if k == "han" else 1.8 if k in ("kana", "hangul") else 1) for k, n in counts.items()}
     total = sum(weight.values())
     if total < 4:
-        return None
+        return None, False
     script = SCRIPT_OF.get(wanted, "latin")
     share = weight.get(script, 0) / total
     if script != "latin" or share < 0.5:
-        return share
+        return share, False
     good = bad = 0
     for sentence in re.split(r"[.!?…]\s+|\n+", plain):
         votes: dict[str, int] = {}
@@ -212,7 +224,7 @@ def language_share(text: str, wanted: str) -> float | None:
                     good += len(sentence)
                 else:
                     bad += len(sentence)
-    return share if good + bad < 12 else share * good / (good + bad)
+    return (share, False) if good + bad < 12 else (share * good / (good + bad), True)
 
 
 def open_at_end(text: str) -> list[str]:
@@ -292,9 +304,12 @@ def defect_of(source: str | None, response: str | None, wanted: str | None, rati
         return "refusal"
     if not wordy:
         return None
-    # a copy is in the source's language, so a response in another wanted language needs no tiling
-    share = language_share(response, wanted.lower().split("-")[0]) if wanted else None
-    if (share is None or share < 0.75) and is_copy(source, response):
+    language = wanted.lower().split("-")[0] if wanted else ""
+    share, told = _language(response, language) if wanted else (None, False)
+    # a copy is in the source's language, so a response surely in another one needs no tiling: its function words
+    # are the wanted language's, or it is in a script of which the source has no letter
+    told = told or share is not None and (p := _SCRIPTS.get(SCRIPT_OF.get(language, "latin"))) is not None and p.fullmatch(source) is not None
+    if is_copy(source, response) if share is None or share < 0.75 or not told else same_words(source, response):
         return "copy"
     if share is not None and share < 0.5:
         return "wrong_language"

@@ -73,3 +73,10 @@ def test_copies_of_any_number_and_length():
 
 def test_text_after_many_marks_is_not_empty():
     assert not is_empty("." * 300 + " Der Hafen war geschlossen.") and is_empty("." * 300)
+
+
+def test_copy_where_only_the_script_tells():
+    names = "Heinrich Tulquajor, Wenjaslod Hovxeryel, Kamvos Dunyel, Rinpal Sutundwim"
+    assert language_share(names, "en") >= 0.75 and defect_of(names, names, "en", 1.0) == "copy" and defect_of(names, names + " Orvlen", "en", 1.0) == "copy"
+    assert defect_of(EN, EN, "en", 1.0) == "copy" and defect_of(ZH, ZH, "zh", 1.0) == "copy"
+    assert defect_of(EN, ZH, "zh", 1.0) is None
