@@ -5,8 +5,8 @@ pages, branch. A line is folded (case, blanks, punctuation, attached page number
 accents) and enters two branches, one keyed by its first letters, one by its
 last; everything else of it is a wildcard slot. A line takes as its template a
 form printed on several pages if it reaches it through a branch and its slot is
-within a letter or two; a misread or lost letter anywhere leaves at least one
-branch intact.
+within a letter or two, or within one letter read as two. A branch key has at most half
+of the shorter form, so a misread or lost letter anywhere leaves at least one branch intact.
 
 The trees of all partitions merge by (source, form): forms are counted per stretch
 before they are counted per source, and only forms repeated within a stretch leave
@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from quire.llm.fold import ACCENTED, PLAIN
 from quire.runtime import cut, cut_bucketed
 
-#: Letters of a branch key; pages of a stretch.
+#: Most letters of a branch key; pages of a stretch.
 BRANCH, STRETCH = 8, 256
-#: Forms from this length on may differ by two letters, shorter ones by one; below the second no slot is open.
-LONG_FORM, SHORT_FORM = 24, 9
+#: Forms from this length on may differ by two letters, shorter ones by one or by these pairs of letters read for one.
+LONG_FORM = 24
+READ_AS = [("rn", "m"), ("nn", "m"), ("vv", "w"), ("cl", "d"), ("ii", "u"), ("li", "h"), ("ri", "n"), ("lc", "k")]
 #: A form is a template if it alone is on this part of the pages that make a line excessive.
 BASE_PART = 4
 #: Words before a page number.
@@ -122,9 +123,14 @@ def repeated_lines(
     pages = per_stretch.groupBy("source").agg(F.sum("_n").alias("_pages"))
     bases = templates(lines, pages, least_pages, share)
     sent = per_stretch.select(F.col("source").alias("_to"), F.col("stretch").alias("_part")).join(bases, F.col("_to") == F.col("_source")).drop("_source")
-    reach = F.when(F.length("base") >= LONG_FORM, 2).when(F.length("base") >= SHORT_FORM, 1).otherwise(0)
-    branch = (F.left("form", F.lit(BRANCH)) == F.left("base", F.lit(BRANCH))) | (F.right("form", F.lit(BRANCH)) == F.right("base", F.lit(BRANCH)))
-    slot = (F.abs(F.length("form") - F.length("base")) <= reach) & branch & F.levenshtein("form", "base", 2).between(0, reach)
+    reach = F.when(F.length("base") >= LONG_FORM, 2).otherwise(1)
+    key = F.least(F.lit(BRANCH), F.floor(F.least(F.length("form"), F.length("base")) / 2).cast("int"))
+    branch = (F.left("form", key) == F.left("base", key)) | (F.right("form", key) == F.right("base", key))
+    pair = F.lit(False)
+    for two, one in READ_AS:
+        pair = pair | (F.replace("form", F.lit(two), F.lit(one)) == F.replace("base", F.lit(two), F.lit(one)))
+    apart = F.levenshtein("form", "base", 2)
+    slot = (F.abs(F.length("form") - F.length("base")) <= reach) & branch & (apart.between(0, reach) | (apart == 2) & pair)
     same = F.col("form") == F.col("base")
     met = lines.join(sent.hint("shuffle_hash"), (F.col("source") == F.col("_to")) & (F.col("stretch") == F.col("_part"))).where(same | slot)
     printed = cut(met.groupBy("source", "page", "block_id", "line_no").agg(F.max(F.struct("base_pages", "base")).alias("_t")).select("source", "page", "block_id", "line_no", F.col("_t.base").alias("template")))

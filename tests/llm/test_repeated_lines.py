@@ -39,3 +39,11 @@ def test_page_numbers_never_count():
 
 def test_very_long_line(spark):
     assert repeated_lines(book(spark, [("a", p, "x y " * 200_000) for p in range(6)])).count() == 6
+
+
+def test_a_damaged_letter_in_a_short_line(spark):
+    heads = [("Old Harbour", "Old Horbour"), ("Old Harbour", "Old Habour"), ("Vorwort", "Vorwart"), ("Vorwort", "Vowort"), ("Schornstein", "Schomstein")]
+    pages = [(f"k{k}", i, f"{b if i == 3 else a}\nbody {'abcdefgh'[i] * 5} stands here") for k, (a, b) in enumerate(heads) for i in range(8)]
+    assert {(r.block_id, r.line_no) for r in repeated_lines(book(spark, pages)).where("line_no = 0").collect()} == {(f"b{i}", 0) for i in range(40)}
+    apart = [("a", i, f"{'Schmuck' if i == 3 else 'Vorwort'}") for i in range(8)]
+    assert repeated_lines(book(spark, apart)).count() == 7
