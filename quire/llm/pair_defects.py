@@ -4,11 +4,12 @@ Each pair of a source, a response and the wanted language gets at most one
 defect, tested in this order:
 
 * ``empty``: null, blank, invisible, or a mere placeholder;
-* ``refusal``: a sentence of the refusal grammar, wholly or after a start;
+* ``refusal``: a sentence of the refusal grammar, wholly or after a start, that the source does not say itself;
 * ``copy``: greedy string tiling covers nearly all of the response with runs of
   the source's words (case, blanks and punctuation aside);
 * ``wrong_language``: most of the response is in another script, or, within one
-  script, most of its sentences use the function words of another language;
+  script, most of its sentences use the function words of another language. A wanted language
+  in Latin script without function words here is not judged;
 * ``truncated``: a pushdown parser over brackets, quotations, fences and markup
   ends with something open that the source closes, or the response ends inside a
   sentence, or it is far shorter than responses to sources of this length.
@@ -23,6 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,6 +41,14 @@ REFUSALS = {
     "es": r"no puedo traducir|como modelo de lenguaje|no se proporcionó|infringe",
 }
 _REFUSAL = re.compile("|".join(REFUSALS.values()), re.I)
+#: Every alternative above holds one of these, so a text without them needs no match.
+REFUSAL_SIGNS = (
+    "无法", "译文", "翻译", "段落", "内容", "讨论", "语言模型", "违反", "请提供", "没有收到", "没有办法", "拒绝",
+    "translat", "request", "render this", "language model", "violate", "text was", "paste the", "provide the",
+    "übersetz", "bearbeiten", "wiedergeben", "sprachmodell", "verstößt", "keinen text", "kein text", "fügen sie",
+    "tradui", "traiter", "en tant que mod", "modèle de lang", "enfreint", "aucun texte", "fournir le", "coller le",
+    "puedo traducir", "como modelo", "no se proporcion", "infringe",
+)
 FUNCTION_WORDS = {
     "en": "the of and in to that was with for by on at from yet while whereas nobody who if not before after both is are this which had his her their its as an it be",
     "de": "der die das und in den dem ein eine einen von mit zu im auf für dass nicht während doch ist des aus bei nach vor zum am sich auch einer eines wer wenn",
@@ -52,7 +62,10 @@ _OF_WORD: dict[str, list[str]] = {}
 for _lang, _words in FUNCTION_WORDS.items():
     for _w in _words.split():
         _OF_WORD.setdefault(_w, []).append(_lang)
-SCRIPT_OF = {"zh": "han", "ja": "kana", "ko": "hangul", "ru": "cyrillic", "uk": "cyrillic", "ar": "arabic", "el": "greek", "he": "hebrew"}
+SCRIPT_OF = {
+    "zh": "han", "ja": "kana", "ko": "hangul", "ru": "cyrillic", "uk": "cyrillic", "bg": "cyrillic", "ar": "arabic", "fa": "arabic", "ur": "arabic",
+    "el": "greek", "he": "hebrew", "hi": "devanagari", "mr": "devanagari", "ne": "devanagari", "th": "thai",
+}
 _SCRIPTS = {
     "han": re.compile(r"[^㐀-䶿一-鿿豈-﫿]+"), "latin": re.compile(r"[^A-Za-zÀ-ɏḀ-ỿ]+"), "cyrillic": re.compile(r"[^Ѐ-ԯ]+"), "kana": re.compile(r"[^぀-ヿ]+"),
     "hangul": re.compile(r"[^가-힯]+"), "arabic": re.compile(r"[^؀-ۿ]+"), "greek": re.compile(r"[^Ͱ-Ͽ]+"), "hebrew": re.compile(r"[^֐-׿]+"), "devanagari": re.compile(r"[^ऀ-ॿ]+"), "thai": re.compile(r"[^฀-๿]+"),
@@ -61,7 +74,10 @@ _SCRIPTS = {
 LONG_PAIR = 40_000
 #: Letters of an alphabet that say as much as one ideograph.
 LETTERS_PER_IDEOGRAPH = 3.4
-_NOT_WORDS = re.compile(r"(?s)https?://\S+|<[^<>]*>|\[\^[^\]]*\]|\\[a-zA-Z]+\*?(?:\[[^\]]*\])?|\]\([^)\s]*\)|\$[^$\n]*\$|```.*?```|\{\{[^{}]*\}\}|&#?\w+;|\S+@\S+|\S*[/\\_]\S*")
+_NOT_WORDS_SIGNS = re.compile(r"[<\[\\$`{&@/_\]]")
+_NOT_WORDS = re.compile(
+    r"(?s)https?://\S+|<[^<>]*>|\[\^[^\]]*\]|\\[a-zA-Z]+\*?(?:\[[^\]]*\])?|\]\([^)\s]*\)|\$[^$\n]*\$|```.*?```|\{\{[^{}]*\}\}|&#?\w+;|\S+@\S+|\S*[/\\_]\S*"
+)
 _WORDS = re.compile(r"[^\W\d_]+")
 _INVISIBLE = re.compile(r"[\s​-‏⁠-⁯﻿­　]+")
 _END = re.compile(r"[。！？…।؟][”»“\"’'」』)）】\]*_`]*|[.!?][”»“\"’'」』)）】\]*_`]*(?=\s|$|[㐀-鿿“„«（<\\\[&])")
@@ -70,9 +86,23 @@ _PAIRS = {"(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "“": "
 _CLOSERS = set(_PAIRS.values())
 
 
+def plain_words(text: str) -> str:
+    """A text without addresses, markup, formulas, code and paths."""
+    return _NOT_WORDS.sub(" ", text) if _NOT_WORDS_SIGNS.search(text) else text
+
+
 def has_words(text: str) -> bool:
     """Whether anything in a text asks for translation."""
-    return any(len(w) > 1 or not w.isascii() for w in _WORDS.findall(_NOT_WORDS.sub(" ", text)))
+    return any(len(w) > 1 or not w.isascii() for w in _WORDS.findall(plain_words(text)))
+
+
+def refuses(source: str | None, response: str) -> bool:
+    """Whether a response declines or asks back; what the source itself says in such words is no refusal."""
+    low = response.lower()
+    if not any(sign in low for sign in REFUSAL_SIGNS):
+        return False
+    said = sum(1 for _ in _REFUSAL.finditer(response))
+    return said > 0 and (source is None or said > sum(1 for _ in _REFUSAL.finditer(source)))
 
 
 def is_empty(text: str | None) -> bool:
@@ -180,36 +210,37 @@ def is_copy(source: str, response: str, share: float = 0.8) -> bool:
     return cover >= share * len(r) and cover >= 0.6 * len(s)
 
 
-def same_words(source: str, response: str) -> bool:
-    """Whether two texts are word for word the same; a look at the first words tells most of them apart."""
-    a, b = source.lower(), response.lower()
-    x, y = _WORDS.search(a), _WORDS.search(b)
-    return x is not None and y is not None and x.group() == y.group() and _WORDS.findall(a) == _WORDS.findall(b)
-
-
 def language_share(text: str, wanted: str) -> float | None:
-    """Share of a text that is in the wanted language; None where nothing tells."""
-    return _language(text, wanted)[0]
-
-
-def _language(text: str, wanted: str) -> tuple[float | None, bool]:
-    """The share of language_share, and whether function words told it and not the script alone."""
-    plain = _NOT_WORDS.sub(" ", text)
-    counts = {k: len(p.sub("", plain)) for k, p in _SCRIPTS.items() if k in ("han", "latin")}
-    if sum(counts.values()) < 0.6 * sum(map(len, _WORDS.findall(plain))) or wanted not in FUNCTION_WORDS and wanted != "zh":
-        counts = {k: len(p.sub("", plain)) for k, p in _SCRIPTS.items()}
-    if counts.get("kana", 0) > 0.1 * counts["han"]:
-        counts["kana"] = counts.get("kana", 0) + counts.pop("han")
-    elif "kana" not in counts and counts["han"] > 10 and (kana := len(_SCRIPTS["kana"].sub("", plain))) > 0.1 * counts["han"]:
+    """Share of a text that is in the wanted language; None where nothing tells.
+
+    A language in Latin script without function words here is not told from others.
+    """
+    script = SCRIPT_OF.get(wanted, "latin")
+    if script == "latin" and wanted not in FUNCTION_WORDS:
+        return None
+    plain = plain_words(text)
+    words = _WORDS.findall(plain)
+    latin, letters = 0, 0
+    others = []
+    for w in words:
+        letters += len(w)
+        if w.isascii():
+            latin += len(w)
+        else:
+            others.append(w)
+    other = "".join(others)
+    counts = {"latin": latin + len(_SCRIPTS["latin"].sub("", other)), "han": len(_SCRIPTS["han"].sub("", other)) if other else 0}
+    if sum(counts.values()) < 0.6 * letters or script not in counts:
+        counts |= {k: len(p.sub("", other)) for k, p in _SCRIPTS.items() if k not in counts}
+    if counts["han"] and (kana := len(_SCRIPTS["kana"].sub("", other))) > 0.1 * counts["han"]:
         counts["kana"] = kana + counts.pop("han")
     weight = {k: n * (LETTERS_PER_IDEOGRAPH if k == "han" else 1.8 if k in ("kana", "hangul") else 1) for k, n in counts.items()}
     total = sum(weight.values())
     if total < 4:
-        return None, False
-    script = SCRIPT_OF.get(wanted, "latin")
+        return None
     share = weight.get(script, 0) / total
     if script != "latin" or share < 0.5:
-        return share, False
+        return share
     good = bad = 0
     for sentence in re.split(r"[.!?…]\s+|\n+", plain):
         votes: dict[str, int] = {}
@@ -224,12 +255,21 @@ def _language(text: str, wanted: str) -> tuple[float | None, bool]:
                     good += len(sentence)
                 else:
                     bad += len(sentence)
-    return (share, False) if good + bad < 12 else (share * good / (good + bad), True)
+    return share if good + bad < 12 else share * good / (good + bad)
 
 
 def open_at_end(text: str) -> list[str]:
     """Pushdown parse of brackets, quotations, fences and paired markup: what is still open at the end."""
     stack: list[str] = []
+    awaited: Counter = Counter()
+
+    def pop(is_opener: Callable[[str], bool]) -> None:
+        while True:
+            x = stack.pop()
+            awaited[_PAIRS.get(x) or ("</" + x[1:] if x[0] == "<" else "\\end" + x[1:])] -= 1
+            if is_opener(x):
+                return
+
     for m in re.finditer(r"```|</?(?:p|ul|ol|li|b|i|em|strong|blockquote|code|a|span|h[1-6]|table|tr|td)\b[^<>]*>|\\(?:begin|end)\{\w+\*?\}|[()（）\[\]【】《》“”„«»「」『』{}]", text):
         t = m.group()
         if t == "```":
@@ -241,22 +281,22 @@ def open_at_end(text: str) -> list[str]:
             name = re.match(r"</?(\w+)", t)[1].lower()
             name = "h" if name[0] == "h" and name[1:].isdigit() else name
             if t[1] == "/":
-                if f"<{name}>" in stack:
-                    while stack.pop() != f"<{name}>":
-                        pass
+                if awaited[f"</{name}>"]:
+                    pop(lambda x: x == f"<{name}>")
             elif not t.endswith("/>"):
                 stack.append(f"<{name}>")
+                awaited[f"</{name}>"] += 1
         elif t[0] == "\\":
             if t[1] == "b":
                 stack.append("\\" + t[6:])
-            elif "\\" + t[4:] in stack:
-                while stack.pop() != "\\" + t[4:]:
-                    pass
-        elif t in _CLOSERS and any(_PAIRS.get(x) == t for x in stack[-3:]):
-            while _PAIRS.get(stack.pop()) != t:
-                pass
+                awaited["\\end" + t[6:]] += 1
+            elif awaited[t]:
+                pop(lambda x: x == "\\" + t[4:])
+        elif t in _CLOSERS and awaited[t]:
+            pop(lambda x: _PAIRS.get(x) == t)
         elif t in _PAIRS:
             stack.append(t)
+            awaited[_PAIRS[t]] += 1
     return stack
 
 
@@ -264,10 +304,16 @@ def ends_inside(text: str) -> bool:
     """Whether a text stops inside a sentence: words after the last sentence end."""
     bare = re.sub(r"\s*(?:\[\^[^\]]*\])+$", "", text.rstrip())
     bare = re.sub(r"(?s)\{\|.*?\|\}|<!--.*?-->|<img\b[^<>]*>", "", bare).rstrip()
-    last = None
-    for last in _END.finditer(bare[-600:] if len(bare) > 600 else bare):
-        pass
-    tail = (bare[-600:] if len(bare) > 600 else bare)[last.end() if last else 0 :]
+    last, window, near = None, 300, bare
+    while last is None:
+        # the last sentence end is sought from the end of the text, as far back as it takes
+        near = bare[-window:]
+        for last in _END.finditer(near):
+            pass
+        if len(near) == len(bare):
+            break
+        window *= 4
+    tail = near[last.end() if last else 0 :]
     if re.match(r"\d{1,4}$", tail) and last is not None:
         return True
     tail = re.sub(r"[A-Za-z]:\\\S+|\S+_\S+\.\w+|\([^()]*\)|\{[^{}]{0,40}\}", " ", tail)
@@ -300,17 +346,13 @@ def defect_of(source: str | None, response: str | None, wanted: str | None, rati
     wordy = source is not None and has_words(source)
     if is_empty(response):
         return "empty" if wordy or source is None or response is None or not response.strip() else None
-    if _REFUSAL.search(response):
+    if refuses(source, response):
         return "refusal"
     if not wordy:
         return None
-    language = wanted.lower().split("-")[0] if wanted else ""
-    share, told = _language(response, language) if wanted else (None, False)
-    # a copy is in the source's language, so a response surely in another one needs no tiling: its function words
-    # are the wanted language's, or it is in a script of which the source has no letter
-    told = told or share is not None and (p := _SCRIPTS.get(SCRIPT_OF.get(language, "latin"))) is not None and p.fullmatch(source) is not None
-    if is_copy(source, response) if share is None or share < 0.75 or not told else same_words(source, response):
+    if is_copy(source, response):
         return "copy"
+    share = language_share(response, wanted.lower().split("-")[0]) if wanted else None
     if share is not None and share < 0.5:
         return "wrong_language"
     return "truncated" if is_truncated(source, response, ratio) else None

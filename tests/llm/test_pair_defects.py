@@ -80,3 +80,36 @@ def test_copy_where_only_the_script_tells():
     assert language_share(names, "en") >= 0.75 and defect_of(names, names, "en", 1.0) == "copy" and defect_of(names, names + " Orvlen", "en", 1.0) == "copy"
     assert defect_of(EN, EN, "en", 1.0) == "copy" and defect_of(ZH, ZH, "zh", 1.0) == "copy"
     assert defect_of(EN, ZH, "zh", 1.0) is None
+
+
+def test_shuffled_words_are_no_copy_at_any_length():
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}" for i in range(15_000)] * 3
+    mixed = words[::7] + words[1::7] + words[2::7] + words[3::7] + words[4::7] + words[5::7] + words[6::7]
+    assert not is_copy(" ".join(words[:1000]), " ".join(mixed[:1000])) and not is_copy(" ".join(words), " ".join(mixed))
+
+
+def test_near_copy_in_the_wanted_language_is_a_copy():
+    de = "Der Hafen war im Winter geschlossen, und die Schiffe lagen vor der Stadt. Niemand hat das Register gelesen."
+    assert defect_of(de, de, "de", 1.0) == "copy" and defect_of(de, de.replace("Niemand", "Keiner"), "de", 1.0) == "copy"
+
+
+def test_any_depth_of_brackets():
+    assert open_at_end("( [ 《 { text )") == [] and open_at_end("( ) [ 《 { text") == ["[", "《", "{"]
+    assert open_at_end("(" * 50_000 + "]" * 50_000 + ")" * 49_999) == ["("]
+
+
+def test_sentence_end_far_from_the_end():
+    assert ends_inside("Er ging. " + "und weiter " * 200) and not ends_inside("| 12 | 14 " * 300)
+
+
+def test_refusal_only_where_the_source_does_not_say_it():
+    said = "He said: I cannot translate this letter. The register lists 12 entries."
+    assert defect_of(said, "他说：我无法翻译这封信。登记簿列有12个条目。", "zh", 1.0) is None
+    assert defect_of(said, "他说：我无法翻译这封信。登记簿列有12个条目。抱歉，我无法翻译这段内容。", "zh", 1.0) == "refusal"
+    assert defect_of(EN, "I cannot translate this letter.", "zh", 1.0) == "refusal"
+
+
+def test_language_without_function_words_is_not_judged():
+    assert defect_of(EN, "Abbedissan stödde den andra volymens manuskript, men ingen läste registret.", "sv", 1.0) is None
+    assert defect_of(EN, "Opatka poparła rękopis drugiego tomu, ale nikt nie czytał rejestru.", "pl", 1.0) is None
+    assert language_share("यह एक पुराना बंदरगाह है", "hi") == 1.0 and language_share(EN, "hi") == 0.0
