@@ -1,18 +1,29 @@
 """Lines repeated across the pages of one source.
 
-Lines become templates through token trees of fixed depth: source, stretch of
-pages, branch. A line is folded (case, blanks, punctuation, attached page numbers,
-accents) and enters two branches, one keyed by its first letters, one by its
-last; everything else of it is a wildcard slot. A line takes as its template a
-form printed on several pages if it reaches it through a branch and its slot is
-within a letter or two, or within one letter read as two. A branch key has at most half
-of the shorter form, so a misread or lost letter anywhere leaves at least one branch intact.
-
-The trees of all partitions merge by (source, form): forms are counted per stretch
-before they are counted per source, and only forms repeated within a stretch leave
-it. The templates then go back to every stretch of their source. A stretch bounds
-the rows of one key, so a source with a third of all rows is spread over its
-stretches. Pages of a template are counted exactly, over distinct pages.
+Lines become templates through token trees of fixed depth. A line is folded (case,
+blanks, punctuation, attached page numbers, accents); as blanks may differ between
+printings of one line, its tokens are runs of letters of the folded form: one at its
+start, one at its end and, in long forms, one in the middle. A path of the tree is
+source, place of the token, token; all else of the line is the wildcard slot of that
+leaf. No letter or two misread or lost can touch all tokens of a form, so every
+printing of a line within that reach shares a leaf with its plain form.
+
+1. *Trees of the parts.* Lines of one source and stretch of pages build a tree. A
+   leaf counts the pages of all forms in it, which bounds from above the pages on
+   which any one of them, damaged printings included, can stand. Forms whose leaves
+   reach their stretch's share of the pages needed leave it as templates.
+2. *Merge.* Templates merge by source and form; their bounds add up, a stretch that did not
+   report one counting for the little it may still have. What cannot reach the
+   needed pages goes, so the number of templates of a source follows the lines of
+   a page and not the size of the source.
+3. *Match.* The merged templates go back to each stretch as a tree of their
+   source; each line walks its own paths only, and the slot is tested to differ by
+   a letter or two, or by one letter read as two. The plain form of a template is on
+   two pages at least and on more than any damaged one. Pages of a template are
+   then counted exactly, over distinct pages.
+
+A stretch bounds the rows of one group, so a source with a third of all rows is
+spread over its stretches.
 """
 
 from __future__ import annotations
@@ -25,15 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.fold import ACCENTED, PLAIN
-from quire.runtime import cut, cut_bucketed
+from quire.runtime import cut, cut_bucketed, release
 
-#: Most letters of a branch key; pages of a stretch.
-BRANCH, STRETCH = 8, 256
+#: Most letters of a token; pages of a stretch.
+TOKEN, STRETCH = 8, 256
 #: Forms from this length on may differ by two letters, shorter ones by one or by these pairs of letters read for one.
 LONG_FORM = 24
 READ_AS = [("rn", "m"), ("nn", "m"), ("vv", "w"), ("cl", "d"), ("ii", "u"), ("li", "h"), ("ri", "n"), ("lc", "k")]
-#: A form is a template if it alone is on this part of the pages that make a line excessive.
-BASE_PART = 4
+#: Stretches of a longer source report a template from this part of their share of the needed pages on.
+REPORTED = 1 / 8
 #: Words before a page number.
 PAGE_WORDS = "pages?|pag|pp?|seiten?|s|folio|fol|f|blatt|bl|feuillet|leaf|no|nr|n|page n"
 _ROMAN = "[ivxlcdm]+"
@@ -44,7 +55,8 @@ _AT_START = re.compile(rf"[\W_]*{_ATTACHED}(?=[\W\d_]|$)")
 _AT_END = re.compile(rf"(?<![^\W_]){_ATTACHED}[\W_]*$")
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 _FOLD = str.maketrans(ACCENTED + "ß", PLAIN + "s")
-_TAIL = 16
+_TAIL = 32
+_MARKS = " \t\r\u00a0\u2002\u2003\u2009\u3000!\"#%&'()*+,-./:;<=>?@[]^_`{|}~§°·†‡•–—―…«»‘’“”„"
 
 
 def is_page_number(line: str) -> bool:
@@ -55,13 +67,13 @@ def is_page_number(line: str) -> bool:
 def line_form(line: str) -> str | None:
     """The folded form of a line; None where no letters are left or the line is only a page number."""
     low = line.lower()
-    if len(low) < 40 and _ONLY_NUMBER.match(low):
+    if _ONLY_NUMBER.match(low):
         return None
     if m := _AT_START.match(low):
         low = low[m.end() :]
-    tail = low[-_TAIL:]
-    if m := _AT_END.search(tail):
-        low = low[: len(low) - len(tail) + m.start()]
+    # the longest number with its word has fewer signs than this; marks behind it do not count
+    if m := _AT_END.search(low, max(0, len(low.rstrip(_MARKS)) - _TAIL)):
+        low = low[: m.start()]
     form = _NO_LETTERS.sub("", low)
     if not form.isascii():
         form = form.translate(_FOLD)
@@ -91,17 +103,106 @@ def lines_of(blocks: DataFrame, source: str, page: str, key: str, content: str,
     return rows.mapInArrow(split, "source string, stretch long, page long, block_id string, line_no int, form string")
 
 
-def templates(lines: DataFrame, pages: DataFrame, least_pages: int, share: float) -> DataFrame:
-    """(_source, base, base_pages): forms that may be templates.
-
-    Forms repeated within a stretch are counted over their source. A form on the
-    needed number of pages is repeated in one of the stretches, so none is missed.
-    """
-    renamed = lines.select(F.col("source").alias("_source"), F.col("stretch").alias("_stretch"), F.col("form").alias("base"), F.col("page").alias("_at"))
-    local = renamed.groupBy("_source", "_stretch", "base").agg(F.min("_at").alias("_a"), F.max("_at").alias("_b"), F.count("*").alias("n")).where(F.col("_a") != F.col("_b"))
-    whole = local.groupBy("_source", "base").agg(F.sum("n").alias("base_pages")).where(F.col("base_pages") >= 2)
-    need = F.greatest(F.lit(least_pages), F.col("_pages") * share) / BASE_PART
-    return whole.join(pages, F.col("_source") == F.col("source")).where(F.col("base_pages") >= need).select("_source", "base", "base_pages")
+def paths(form: str) -> list[str]:
+    """Paths of a form below its source: place and token; the rest of the form is the wildcard slot."""
+    n = len(form)
+    out = []
+    # half of the shorter of two forms that differ in length by one
+    for k in {min(TOKEN, n // 2), min(TOKEN, (n - 1) // 2)} - {0}:
+        out += ["<" + form[:k], ">" + form[-k:]]
+    if n >= LONG_FORM - 2:
+        # a letter lost or won before the middle token moves it by one
+        out += ["|" + form[k : k + TOKEN] for k in (TOKEN - 1, TOKEN, TOKEN + 1)]
+    return out
+
+
+def template_paths(form: str) -> list[str]:
+    """Paths under which a template stands: those of its form, with the middle token where it is."""
+    return [x for x in paths(form) if x[0] != "|"] + (["|" + form[TOKEN : 2 * TOKEN]] if len(form) >= LONG_FORM else [])
+
+
+def within(a: str, b: str, edits: int) -> bool:
+    """Whether two strings differ by at most so many letters misread, lost or won."""
+    if abs(len(a) - len(b)) > edits:
+        return False
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    if not edits or i == n:
+        return len(a) == len(b) == i or len(a) + len(b) - 2 * i <= edits
+    a, b = a[i:], b[i:]
+    return within(a[1:], b[1:], edits - 1) or within(a[1:], b, edits - 1) or within(a, b[1:], edits - 1)
+
+
+def same_line(form: str, template: str) -> bool:
+    """Whether the slot between a form and a template is a letter or two, or one letter read as two."""
+    if form == template or within(form, template, 2 if len(template) >= LONG_FORM else 1):
+        return True
+    if len(template) >= LONG_FORM or not within(form, template, 2):
+        return False
+    return any(form.replace(two, one) == template.replace(two, one) for two, one in READ_AS)
+
+
+class TokenTree:
+    """Leaves of one source by path."""
+
+    def __init__(self) -> None:
+        self.leaves: dict[str, list[tuple[int, str]]] = {}
+
+    def add(self, form: str, n: int, under: list[str]) -> None:
+        for path in under:
+            self.leaves.setdefault(path, []).append((n, form))
+
+    def frequent(self, pages: dict[str, int], least: float) -> list[tuple[str, int, int]]:
+        """(form, its pages, bound) of forms that may, with their damaged printings, be on at least so many pages.
+
+        It stands on two pages, or is the most printed form of one of its leaves.
+        """
+        total = {path: sum(n for n, _ in leaf) for path, leaf in self.leaves.items()}
+        out = []
+        for form, n in pages.items():
+            under = template_paths(form)
+            bound = n + sum(total[x] - n for x in under)
+            if bound >= least and (n >= 2 or any((n, form) == max(self.leaves[x]) for x in under)):
+                out.append((form, n, bound))
+        return out
+
+    def match(self, form: str, pages: int = 0) -> str | None:
+        """The most printed template of which a form is a printing; what is damaged is on fewer pages than what it was."""
+        met = {t for path in paths(form) for t in self.leaves.get(path, ())}
+        return next((t for n, t in sorted(met, reverse=True) if form == t or n > pages and same_line(form, t)), None)
+
+
+def _page_counts(lines: pa.Table) -> dict[str, int]:
+    """Distinct pages of each form."""
+    once = lines.group_by(["form", "page"]).aggregate([]).group_by("form").aggregate([([], "count_all")])
+    return dict(zip(once.column("form").to_pylist(), once.column("count_all").to_pylist()))
+
+
+def _local(lines: pa.Table, size: pa.Table) -> pa.Table:
+    """Templates of one stretch; size has its pages and its part of the needed ones."""
+    names = ["source", "base", "base_pages", "bound", "part"]
+    if not lines.num_rows or not size.num_rows:
+        return pa.table([pa.array([], t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64())], names)
+    part, whole = size.column("_part")[0].as_py(), size.column("_stretches")[0].as_py() == 1
+    pages, tree = _page_counts(lines), TokenTree()
+    for form, n in pages.items():
+        tree.add(form, n, paths(form))
+    found = tree.frequent(pages, part if whole else part * REPORTED)
+    source = lines.column("source")[0].as_py()
+    return pa.table([pa.array([source] * len(found), pa.string()), *(pa.array([x[k] for x in found], t) for k, t in ((0, pa.string()), (1, pa.int64()), (2, pa.int64()))), pa.array([part] * len(found), pa.float64())], names)
+
+
+def _matched(lines: pa.Table, known: pa.Table) -> pa.Table:
+    """Lines of one stretch that are printings of a template."""
+    tree = TokenTree()
+    if lines.num_rows:
+        for form, n in zip(known.column("base").to_pylist(), known.column("base_pages").to_pylist()):
+            tree.add(form, n, template_paths(form))
+    found = {f: tree.match(f, n) for f, n in _page_counts(lines).items()} if tree.leaves else {}
+    coded = lines.column("form").combine_chunks().dictionary_encode()
+    template = pa.array([found.get(f) for f in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+    return lines.select(["source", "page", "block_id", "line_no"]).append_column("template", template).filter(template.is_valid())
 
 
 def repeated_lines(
@@ -116,27 +217,25 @@ def repeated_lines(
     result; other columns are not looked at.
     """
     placed = blocks.where(F.col(source).isNotNull() & F.col(page).isNotNull())
-    # one shuffle serves the counting of forms and, with the templates sent to each stretch, the matching
+    # one shuffle serves the trees of the stretches and, with the templates sent to each, the matching
     lines = cut_bucketed(lines_of(placed, source, page, key, content, stretch), "source", "stretch")
     per_page = placed.select(F.col(source).cast("string").alias("source"), F.col(page).cast("long").alias("page")).distinct().withColumn("stretch", F.floor(F.col("page") / stretch))
     per_stretch = per_page.groupBy("source", "stretch").agg(F.count("*").alias("_n"))
-    pages = per_stretch.groupBy("source").agg(F.sum("_n").alias("_pages"))
-    bases = templates(lines, pages, least_pages, share)
-    sent = per_stretch.select(F.col("source").alias("_to"), F.col("stretch").alias("_part")).join(bases, F.col("_to") == F.col("_source")).drop("_source")
-    reach = F.when(F.length("base") >= LONG_FORM, 2).otherwise(1)
-    key = F.least(F.lit(BRANCH), F.floor(F.least(F.length("form"), F.length("base")) / 2).cast("int"))
-    branch = (F.left("form", key) == F.left("base", key)) | (F.right("form", key) == F.right("base", key))
-    pair = F.lit(False)
-    for two, one in READ_AS:
-        pair = pair | (F.replace("form", F.lit(two), F.lit(one)) == F.replace("base", F.lit(two), F.lit(one)))
-    apart = F.levenshtein("form", "base", 2)
-    slot = (F.abs(F.length("form") - F.length("base")) <= reach) & branch & (apart.between(0, reach) | (apart == 2) & pair)
-    same = F.col("form") == F.col("base")
-    met = lines.join(sent.hint("shuffle_hash"), (F.col("source") == F.col("_to")) & (F.col("stretch") == F.col("_part"))).where(same | slot)
-    printed = cut(met.groupBy("source", "page", "block_id", "line_no").agg(F.max(F.struct("base_pages", "base")).alias("_t")).select("source", "page", "block_id", "line_no", F.col("_t.base").alias("template")))
+    whole = per_stretch.groupBy("source").agg(F.sum("_n").alias("_pages"), F.count("*").alias("_stretches"))
+    needed = whole.withColumn("_need", F.greatest(F.lit(float(least_pages)), F.col("_pages") * F.lit(share)))
+    sizes = per_stretch.join(needed, "source").select("source", "stretch", "_stretches", (F.col("_need") * F.col("_n") / F.col("_pages")).alias("_part"))
+    by = ("source", "stretch")
+    local = lines.groupBy(*by).cogroup(sizes.groupBy(*by)).applyInArrow(_local, "source string, base string, base_pages long, bound long, part double")
+    merged = local.groupBy("source", "base").agg(F.sum("base_pages").alias("base_pages"), F.sum("bound").alias("_bound"), F.sum("part").alias("_told"))
+    # a misread letter is the exception: the line itself must be printed twice
+    bases = merged.join(needed, "source").where((F.col("base_pages") >= 2) & (F.col("_bound") + (F.col("_need") - F.col("_told")) * REPORTED >= F.col("_need") * (1 - 1e-9))).select("source", "base", "base_pages")
+    sent = per_stretch.select(*by).join(bases, "source")
+    met = lines.groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(_matched, "source string, page long, block_id string, line_no int, template string")
+    printed = cut(met)
+    release(lines)
     covered = printed.select("source", "template", "page").distinct().groupBy("source", "template").agg(F.count("*").alias("_on"))
-    heavy = covered.where(F.col("_on") >= least_pages).join(pages, "source").where(F.col("_on") >= F.col("_pages") * F.lit(share)).select("source", "template")
-    return printed.join(heavy, ["source", "template"], "left_semi").select("block_id", "line_no", "template")
+    heavy = covered.join(needed, "source").where((F.col("_on") >= least_pages) & (F.col("_on") >= F.col("_pages") * F.lit(share))).select("source", "template")
+    return printed.join(heavy, ["source", "template"], "left_semi").select("block_id", "line_no", "template").distinct()
 
 
 def without_lines(blocks: DataFrame, found: DataFrame, key: str = "id", content: str = "content") -> DataFrame:

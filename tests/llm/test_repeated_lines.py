@@ -1,4 +1,4 @@
-from quire.llm.repeated_lines import is_page_number, line_form, repeated_lines, without_lines
+from quire.llm.repeated_lines import TokenTree, is_page_number, line_form, paths, repeated_lines, same_line, template_paths, within, without_lines
 
 SCHEMA = "id string, book_id string, page_index int, content string, source string, form string, template string"
 
@@ -47,3 +47,34 @@ def test_a_damaged_letter_in_a_short_line(spark):
     assert {(r.block_id, r.line_no) for r in repeated_lines(book(spark, pages)).where("line_no = 0").collect()} == {(f"b{i}", 0) for i in range(40)}
     apart = [("a", i, f"{'Schmuck' if i == 3 else 'Vorwort'}") for i in range(8)]
     assert repeated_lines(book(spark, apart)).count() == 7
+
+
+def test_pages_far_apart(spark):
+    for step in (1, 300):
+        pages = [("a", p * step, f"The Chronicle of Lodlenvel\n{'abcdefgh'[p] * 9} stands here") for p in range(8)]
+        assert repeated_lines(book(spark, pages)).count() == 8
+
+
+def test_no_printing_within_reach_misses_its_leaf():
+    for form in ("vorwort", "oldharbour", "schornstein", "chronicleoftheoldharbour", "thechronicleoftheoldharbouranditskeepers"):
+        reach = 2 if len(form) >= 24 else 1
+        damaged = {form}
+        for _ in range(reach):
+            damaged |= {f[:i] + x + f[i + k :] for f in damaged for i in range(len(f)) for k in (0, 1) for x in ("", "q") if f[:i] + x + f[i + k :]}
+        tree = TokenTree()
+        tree.add(form, 9, template_paths(form))
+        assert all(tree.match(f) == form for f in damaged if len(f) >= len(form) - reach and len(f) > 1)
+    assert same_line("schomstein", "schornstein") and not same_line("schmuck", "vorwort") and within("abc", "abd", 1) and not within("abc", "xyz", 2)
+    assert len(paths("x" * 60)) == 5
+
+
+def test_marks_behind_a_number_and_hardly_printed_forms(spark):
+    assert line_form("The old harbour | page 123 " + "*" * 90) == "theoldharbour" and line_form(" " * 90 + "12") is None
+    mostly = [("a", p, "The keepers of the old harbour" if p < 2 else "The keepers of the old harbour"[:p] + "q" + "The keepers of the old harbour"[p + 1 :]) for p in (0, 1, 4, 5, 6, 8, 9, 10)]
+    assert repeated_lines(book(spark, mostly)).count() == 8
+
+
+def test_a_third_of_all_rows_in_one_source(spark):
+    pages = [("big", p, ("Share this leaf" if p % 6 == 0 else "only here") + f"\n{'abcdefghijklmnopqrstuvwxyz'[p % 26] * 5}{'abcdefghijklmnopqrstuvwxyz'[p // 26 % 26] * 5}{'abc'[p // 676] * 5}") for p in range(1500)]
+    found = repeated_lines(book(spark, pages), stretch=64)
+    assert {(r.template, r["count"]) for r in found.groupBy("template").count().collect()} == {("sharethisleaf", 250), ("onlyhere", 1250)}
