@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -37,9 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, else one made here, as in tests."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only a session on this machine alone, as in tests, may go without the setting; it gets a folder made here.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or _own_folder.get("at")
     if where is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = _own_folder["at"] = tempfile.mkdtemp(prefix="quire-cut-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
     return where
@@ -56,6 +62,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _remove_at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quire_path = path
     return out
@@ -71,15 +78,26 @@ def cut_bucketed(df: DataFrame, *keys: str) -> DataFrame:
     name = f"cut_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
     df.repartition(n, *keys).write.format("parquet").option("path", path).bucketBy(n, *keys).saveAsTable(name)
+    _remove_at_end(spark, path)
     out = spark.table(name)
-    out._quire_path = path
+    out._quire_path, out._quire_name = path, name
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Remove the table behind a cut() that no later plan reads."""
-    path = getattr(df, "_quire_path", None)
-    if path:
+def _remove_at_end(spark: SparkSession, path: str) -> None:
+    """Have the driver remove a path when it ends; what is released before is gone by then."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def release(*cuts: DataFrame) -> None:
+    """Remove the tables behind cut() and cut_bucketed() that no later plan reads."""
+    for df in cuts:
+        name, path = getattr(df, "_quire_name", None), getattr(df, "_quire_path", None)
+        if name:
+            df.sparkSession.sql(f"drop table if exists {name}")
+        if not path:
+            continue
         jvm = df.sparkSession._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
