@@ -4,15 +4,23 @@ Vocabulary: words are counted over all records; those above a share of all words
 make a trie. A share bounds its size: no more than 1 / share words can have it,
 so it can be broadcast. Misread forms common enough to slip in are taken out again.
 
-Candidates: a word that is not in the trie is intersected with it by a
-Levenshtein automaton whose steps are the known confusions of recognition (one
-character or pair read as another). It walks the
-trie and the word together, so all candidates within reach are found and nothing
-else is visited. They are ranked by confusions, then by whether they are among the
-words beside the misread one in its record, then by how common they are; a word
-counts as misread only if confusions alone lead to a candidate. The automaton can
-take single edits too (``Reader.ranked``), but the operator leaves them out: in a
-word that no vocabulary holds they mostly lead to another word.
+Confusions (one character or pair read as another) are the usual ones of recognition
+and those learned from the corpus: for each way in which a rare word differs from one
+of the most common words, the part of the common words with the letters concerned
+that occur so misread. A confusion of the scanner shows in many of them, a chance
+likeness in hardly any.
+
+Candidates: a word that is not in the trie is intersected with it by a Levenshtein
+automaton that walks the trie and the word together, so all candidates within reach are
+found and nothing else is visited. Steps are confusions, or one edit of any kind.
+Candidates are ranked by edits, confusions, whether they are among the words beside
+the misread one in its record, and by how common they are. Where a single edit alone
+leads to a word, the context decides: it counts as misread only if the words before
+and after it stand so beside the candidate elsewhere on the pages around.
+
+Page numbers follow the sequence of the book: in collapsed text only the page's own
+number counts. Where the text has that very number by chance, words that usually stand
+beside numbers, learned from the corpus too, tell it.
 
 Page furniture: the forms of running lines come from header, footer, aside and title
 blocks of a stretch of pages and from blocks of one line repeated on its pages. Records
@@ -20,55 +28,69 @@ of one book and stretch meet in one group with the forms of that stretch and bot
 it; a record without a page meets all forms of its book of which its text holds the
 beginning of a part. An Aho-Corasick automaton over the folded
 forms and their halves finds them in lines and in collapsed text alike; a half is
-confirmed by aligning the rest of the form. The stretch bounds the group, whatever the book's size.
+confirmed by aligning the rest of the form. Forms of a few letters, which may be words
+of the text, count only as a line of their own. The stretch bounds the group, whatever
+the book's size.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache, lru_cache
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.runtime import cut
+from quire.runtime import cut, release
 
-#: What is read, and what stood there.
+#: Usual confusions of recognition, what is read and what stood there.
 CONFUSIONS = [
     ("0", "o"), ("1", "l"), ("|", "l"), ("5", "s"), ("6", "b"), ("9", "g"), ("†", "t"), ("ſ", "s"), ("ï", "i"), ("c", "e"),
     ("ri", "n"), ("cl", "d"), ("ii", "u"), ("li", "h"), ("rn", "m"), ("vv", "w"), ("!", "l"), ("8", "B"), ("@", "a"), ("€", "e"), ("3", "e"), ("rri", "m"), ("nn", "m"), ("lc", "k"),
 ]
-_SIGNS = "015689|†!@€3"
 BREAK_MARKS = "-¬­‐‑–⁃"
 RUNNING_LABELS = ("header", "footer", "aside_text", "doc_title", "paragraph_title")
-#: Pages of one group; share of all words that makes a word of the vocabulary; how much more common the right word is.
 _MARKS = re.escape(BREAK_MARKS)
-#: Letters of the shortest form, and of the grams by which forms and texts without a page meet.
+#: Letters from which on a form is sought within lines, and of the grams by which forms and texts without a page meet.
 LEAST_FORM = 9
+#: Letters of the shortest form; shorter lines are numbers and marks.
+SHORT_FORM = 3
+#: Records without a page in one group, about.
+LOOSE_RECORDS = 400
 #: Pieces without unknown tokens that a worker remembers; others are looked at again.
 PLAIN_PIECES = 500_000
+#: Pages of one group; share of all words that makes a word of the vocabulary; how much more common the right word is.
 STRETCH, WORD_SHARE, MORE_COMMON = 48, 1e-5, 12
+#: Common words from which confusions are learned; how many of them, and which part, must occur so misread.
+LEARNED_FROM, LEAST_WORDS, LEAST_PART = 5000, 10, 0.05
+#: Part of a word's printings that stand beside a number, from which on the number belongs to the text.
+BESIDE_NUMBER = 0.3
+_PUNCTUATION = ".,;:!?()[]{}«»‘’“”„\"'…"
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _TOKEN = re.compile(r"[^\W_|†!@€]+(?:[|†!@€]+[^\W_|†!@€]+)*(?:['’][^\W_|†!@€]+(?:[|†][^\W_|†!@€]+)*)*[|†]?|[|†][^\W_|†!@€]+")
 _BREAK = re.compile(rf"([^\W\d_]+(?:[0-9|†][^\W_]*)*)[{_MARKS}](?:[ \t]*(?:\r?\n|$)[ \t]*|[ \t]+)([^\W\d_][^\s{_MARKS},.;:!?]*)?", re.UNICODE)
+_BREAK_SIGN = re.compile(rf"[{_MARKS}](?:\s|$)")
 _BREAK_END = re.compile(rf"[^\W\d_][{_MARKS}]\s*$")
 _ROMAN = r"(?=[ivxlcdm])(?:m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))"
 _NUMBER_LINE = re.compile(rf"^[\W_]*(?:(?:p|pp|page|pag|s|seite|fol|folio|bl|blatt|f|feuillet)\b\.?\s*)?(?:\d{{1,5}}|{_ROMAN})(?:\s*(?:/|of|von|sur)\s*\d{{1,5}})?[\W_]*$", re.I)
-_NO_LETTERS, _LETTER = re.compile(r"[\W\d_]+"), re.compile(r"[^\W\d_]")
-#: What stands beside a number that belongs to the text.
-_COUNTED = {"entries", "einträge", "entrées", "keys", "barrels", "per", "prozent", "pour"}
-_COUNTING = {"lists", "nennt", "compte", "about", "folio", "blatt", "feuillet", "berth", "gives", "donne", "kept", "reads", "in", "jahr", "en", "fig", "abb", "table", "no", "nr", "chapter", "kapitel", "chapitre", "than"}
+_LETTERS = re.compile(r"[^\W\d_]+")
+_NUMBER = re.compile(r"(?<!\S)\d{1,5}[.*]?(?!\S)")
+_LAST_WORD, _FIRST_WORD = re.compile(r"([^\W\d_]+)\.?$"), re.compile(r"[^\W\d_]+")
+#: Marks of the counts of words before and after a number.
+_BEFORE, _AFTER = "\x01", "\x02"
 
 
 class Trie:
-    """Vocabulary trie with complete retrieval within a bounded number of confusions and edits."""
+    """Vocabulary trie with complete retrieval within a bounded number of confusions, or one edit."""
 
-    def __init__(self, words: dict[str, int]):
+    def __init__(self, words: dict[str, int], confusions: list[tuple[str, str]] = CONFUSIONS):
         self.root: dict = {}
+        self.confusions = confusions
         for w, n in words.items():
             node = self.root
             for ch in w:
@@ -94,29 +116,34 @@ class Trie:
             if i < n and (nxt := node.get(word[i])) is not None:
                 stack.append((nxt, i + 1, made + word[i], e, c))
             if c < confusions:
-                for read, stood in CONFUSIONS:
-                    if word.startswith(read, i):
-                        nxt = node
-                        for ch in stood:
-                            nxt = nxt.get(ch)
-                            if nxt is None:
-                                break
-                        else:
-                            stack.append((nxt, i + len(read), made + stood, e, c + 1))
+                for read, stood in self.confusions:
+                    if word.startswith(read, i) and (nxt := _follow(node, stood)) is not None:
+                        stack.append((nxt, i + len(read), made + stood, e, c + 1))
             if e < edits:
                 if i < n:
                     stack.append((node, i + 1, made, e + 1, c))
+                # the last edit must lead into the rest of the word, which is looked up and not walked
+                last = e + 1 == edits and c >= confusions
                 for ch, nxt in node.items():
-                    if ch:
-                        stack.append((nxt, i, made + ch, e + 1, c))
-                        if i < n and ch != word[i]:
-                            stack.append((nxt, i + 1, made + ch, e + 1, c))
+                    if not ch:
+                        continue
+                    for k in (i, i + 1) if i < n and ch != word[i] else (i,):
+                        if not last or _follow(nxt, word[k:]) is not None:
+                            stack.append((nxt, k, made + ch, e + 1, c))
         return out
 
 
+def _follow(node: dict, word: str) -> dict | None:
+    for ch in word:
+        node = node.get(ch)
+        if node is None:
+            return None
+    return node
+
+
 def fold(text: str) -> str:
     """Letters of a text in lower case; a sign read for a letter counts as a lost letter."""
-    return _NO_LETTERS.sub("", text.lower())
+    return "".join(_LETTERS.findall(text.lower()))
 
 
 def aligned(form: str, text: str, edits: int) -> int:
@@ -137,36 +164,92 @@ def aligned(form: str, text: str, edits: int) -> int:
 
 
 def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
-    """(word, n): how often each word in lower case occurs over all texts; counted per batch before the shuffle."""
+    """(word, n): how often each token in lower case occurs over all texts; counted per batch before the shuffle.
+
+    Words before and after a number are counted once more, marked as such.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw: Counter = Counter()
+        beside: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            words: Counter = Counter()
+            words = Counter(beside)
             for piece, n in raw.items():
-                for w in _WORD.findall(piece):
+                for w in _TOKEN.findall(piece):
                     words[w] += n
             return pa.RecordBatch.from_pydict({"word": list(words), "n": pa.array(words.values(), pa.int64())})
 
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    raw.update(t.lower().split())
+                    low = t.lower()
+                    raw.update(low.split())
+                    for m in _NUMBER.finditer(low):
+                        if w := _LAST_WORD.search(low[: m.start()].rstrip()[-40:]):
+                            beside[_BEFORE + w[1]] += 1
+                        if w := _FIRST_WORD.match(low[m.end() : m.end() + 40].lstrip()):
+                            beside[_AFTER + w[0]] += 1
             if len(raw) > 200_000:
                 yield out()
                 raw.clear()
+                beside.clear()
         yield out()
 
     return texts.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame, share: float = WORD_SHARE, least: int = 8) -> dict[str, int]:
-    """Words of at least a share of all words, misread forms taken out; never more than 1 / share entries."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    words = {r.word: r.n for r in counts.where(F.col("n") >= max(least, int(total * share))).select("word", "n").collect()}
+def learned_confusions(counts: DataFrame, words: dict[str, int]) -> list[tuple[str, str]]:
+    """Confusions that the corpus shows: (read, stood), one or two characters each.
+
+    All rare tokens of the corpus are held against the most common words. A pair is
+    kept if it leads from rare tokens to at least LEAST_WORDS of these words and to
+    LEAST_PART of those that have the letters. What comes to the driver is bounded by
+    the places of letters in the common words.
+    """
+    common = dict(sorted(((w, n) for w, n in words.items() if len(w) >= 4), key=lambda x: (-x[1], x[0]))[:LEARNED_FROM])
+    at: dict[tuple[str, str], list[tuple[str, str]]] = defaultdict(list)
+    having: Counter = Counter()
+    for w in common:
+        spots = {(k, i) for k in (1, 2) for i in range(len(w) - k + 1)}
+        having.update({w[i : i + k] for k, i in spots})
+        for k, i in spots:
+            at[w[:i], w[i + k :]].append((w, w[i : i + k]))
+    shipped = counts.sparkSession.sparkContext.broadcast((common, dict(at)))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, at = shipped.value
+        for b in batches:
+            out = set()
+            for r, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for k in (1, 2):
+                    for i in range(len(r) - k + 1):
+                        for w, stood in at.get((r[:i], r[i + k :]), ()):
+                            read = r[i : i + k]
+                            if len(read) + len(stood) < 4 and read[0] != stood[0] and read[-1] != stood[-1] and common[w] >= MORE_COMMON * n:
+                                out.add((read, stood, w))
+            cols = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["read", "stood", "word"])
+
+    known = counts.sparkSession.createDataFrame([(w,) for w in words] or [("",)], "word string")
+    rare = counts.where((F.length("word") >= 4) & ~F.col("word").rlike(r"^\d+$|^[\x01\x02]")).join(known, "word", "left_anti")
+    pairs = rare.mapInArrow(compare, "read string, stood string, word string").distinct().groupBy("read", "stood").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_WORDS)
+    return sorted((r.read, r.stood) for r in pairs.collect() if r.n >= LEAST_PART * having[r.stood])
+
+
+def vocabulary(counts: DataFrame, share: float = WORD_SHARE, least: int = 8) -> tuple[dict[str, int], list[tuple[str, str]], set[str]]:
+    """Words of at least a share of all words without misread forms, confusions, and words that stand beside numbers.
+
+    Never more than 1 / share words. In the last, words carry the mark of their side.
+    """
+    is_word = F.col("word").rlike(r"^[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*$")
+    total = counts.where(is_word).agg(F.sum("n")).first()[0] or 0
+    often = counts.where(F.col("n") >= max(least, int(total * share)))
+    words = {r.word: r.n for r in often.where(is_word).select("word", "n").collect()}
+    sides = {r.word for r in often.where(F.col("word").rlike(r"^[\x01\x02]")).select("word", "n").collect() if r.n >= BESIDE_NUMBER * words.get(r.word[1:], r.n)}
+    confusions = CONFUSIONS + [x for x in learned_confusions(counts, words) if x not in CONFUSIONS]
     for w in [w for w in words if len(w) > 2]:
-        for read, stood in CONFUSIONS:
+        for read, stood in confusions:
             at = w.find(read)
             while at >= 0:
                 right = w[:at] + stood + w[at + len(read) :]
@@ -174,29 +257,39 @@ def vocabulary(counts: DataFrame, share: float = WORD_SHARE, least: int = 8) ->
                     words[w] = -1
                     break
                 at = w.find(read, at + 1)
-    return {w: n for w, n in words.items() if n > 0}
+    return {w: n for w, n in words.items() if n > 0}, confusions, sides
 
 
 class Reader:
     """Word-level judgements against one vocabulary; kept by a worker for all its groups."""
 
-    def __init__(self, words: dict[str, int]):
+    def __init__(self, words: dict[str, int], confusions: list[tuple[str, str]] = CONFUSIONS, beside_numbers: Iterable[str] = ()):
         self.words = words
         self.known: set[str] = set(words) | {w.capitalize() for w in words} | {w.upper() for w in words}
-        self.trie = Trie(words)
+        self.trie = Trie(words, confusions)
+        self.beside_numbers = set(beside_numbers)
+        self.letters = [(read, stood) for read, stood in confusions if read.isalpha() and stood.isalpha()]
+        self.signs = {read: stood for read, stood in reversed(confusions) if len(read) == 1 and not read.isalpha()}
         self.plain: set[str] = set()
         self.candidates = lru_cache(maxsize=200_000)(self._candidates)
+        self.edited = lru_cache(maxsize=200_000)(self._edited)
 
-    def right(self, token: str, text: str = "") -> str | None:
-        """The word a token was misread from, or None; of equally near ones the first that stands in the text beside it."""
+    def right(self, token: str, text: str = "", around: Callable[[], str] | None = None) -> str | None:
+        """The word a token was misread from, or None.
+
+        Of equally near words the first that stands in the text beside it; text is the
+        record, around gives the text of the pages about it.
+        """
         got = self.candidates(token)
         if len(got) > 1 and text:
             beside = set(_WORD.findall(text.lower()))
             return next((w for w in got if w in beside), got[0])
-        return got[0] if got else None
+        if got:
+            return got[0]
+        return self.in_context(token, text, around) if around else None
 
     def _candidates(self, token: str) -> tuple[str, ...]:
-        """The nearest words a token can be misread from, the most common first."""
+        """The nearest words a token can be misread from by confusions, the most common first."""
         low = token.lower()
         if low in self.words or re.fullmatch(r"\d+|\d+(?:v|r|er|st|nd|rd|th)|[A-Za-z]\d{1,3}|\d+", token):
             return ()
@@ -208,16 +301,39 @@ class Reader:
                 return tuple(w for w in ranks if got[w][1] == got[best][1] and len(w) > 1)
         # a sign between letters of a name: no vocabulary can hold all names
         if re.fullmatch(r"[^\W\d_]+[015689|†!][a-zà-ÿ]+(?:['’]\w+)?|[^\W\d_]{3,}[156|†]", token) and not re.search(r"[A-Z]{2}", token) and (token[0].isupper()):
-            return ("".join(dict(zip("015689|†!", "olsbbglt" + "l")).get(x, x) if i else x for i, x in enumerate(token)),)
+            return ("".join(self.signs.get(x, x) if i else x for i, x in enumerate(token)),)
         if re.search(r"[a-z]ï[a-z]|^[A-Z]ï[a-z]", token) and low not in self.words:
             return (token.replace("ï", "i"),)
         return ()
 
-    def ranked(self, token: str, beside: set[str]) -> list[str]:
-        """All candidates within two confusions or one edit, best first: edits, confusions, words beside, count."""
-        got = self.trie.near(token.lower(), confusions=2, edits=1)
+    def _edited(self, token: str) -> tuple[str, ...]:
+        """The words a token differs from by one edit, the most common first; names and parts of words have none."""
+        if len(token) < 5 or not token.isalpha() or not token.islower() or token in self.words:
+            return ()
+        return tuple(w for w in self.ranked(token, set(), confusions=0) if len(w) >= 4)
+
+    def ranked(self, token: str, beside: set[str], confusions: int = 2) -> list[str]:
+        """All candidates within so many confusions and one edit, best first: edits, confusions, words beside, count."""
+        got = self.trie.near(token.lower(), confusions, edits=1)
         return sorted(got, key=lambda w: (got[w][0], got[w][1], w not in beside, -got[w][2], w))
 
+    def in_context(self, token: str, text: str, around: Callable[[], str]) -> str | None:
+        """The word within one edit of a token that stands elsewhere between the same words as the token does here."""
+        got = self.edited(token)
+        if not got:
+            return None
+        pieces = text.lower().split()
+        for i, piece in enumerate(pieces):
+            if token in piece and piece.strip(_PUNCTUATION) == token:
+                before, after = pieces[i - 1] if i else "", pieces[i + 1] if i + 1 < len(pieces) else ""
+                near = around()
+                for w in got:
+                    there = piece.replace(token, w, 1)
+                    if (before or after) and (not before or f" {before} {there} " in near) and (not after or f" {there} {after} " in near):
+                        return w
+                return None
+        return None
+
     def broken(self, first: str, second: str) -> bool:
         """Whether two fragments around a break mark are one word."""
         a, b = first.lower(), second.lower()
@@ -234,10 +350,8 @@ def running_forms(lines: list[tuple[str, int, str]]) -> set[str]:
     alone: set[str] = set()
     pages: dict[str, set[int]] = defaultdict(set)
     for line, page, label in lines:
-        if len(line) < LEAST_FORM:
-            continue
         f = fold(line)
-        if len(f) < LEAST_FORM:
+        if len(f) < SHORT_FORM:
             continue
         if label in RUNNING_LABELS:
             forms.add(f)
@@ -256,10 +370,11 @@ class Furniture:
         import ahocorasick
 
         forms = set(forms)
-        self.forms = forms
-        self.auto = ahocorasick.Automaton() if forms else None
+        self.short = {f for f in forms if len(f) < LEAST_FORM}
+        self.forms = forms - self.short
+        self.auto = ahocorasick.Automaton() if self.forms else None
         parts: dict[str, list[tuple[str, int]]] = defaultdict(list)
-        for f in forms:
+        for f in self.forms:
             parts[f].append((f, 0))
             if len(f) >= 20:
                 h = len(f) // 2
@@ -270,14 +385,24 @@ class Furniture:
         if self.auto:
             self.auto.make_automaton()
 
+    def _lines(self, text: str) -> list[tuple[int, int]]:
+        """Spans of lines that are a form of few letters."""
+        out, at = [], 0
+        for line in text.split("\n"):
+            if len(line) < 40 and fold(line) in self.short:
+                out.append((at, at + len(line.rstrip("\r"))))
+            at += len(line) + 1
+        return out
+
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Character spans of running lines in a text."""
+        alone = self._lines(text) if self.short else []
         if not self.auto:
-            return []
+            return alone
         low = text.lower()
         if len(low) != len(text):
             low = text
-        folded = _NO_LETTERS.sub("", low)
+        folded = "".join(_LETTERS.findall(low))
         spans = set()
         for end, (part, of) in self.auto.iter(folded):
             start = end - len(part) + 1
@@ -295,9 +420,19 @@ class Furniture:
                     if k >= 0:
                         spans.add((start - k, end + 1))
         if not spans:
-            return []
-        place = [m.start() for m in _LETTER.finditer(low)]
-        out = [(place[a], place[b - 1] + 1) for a, b in spans if b > a]
+            return alone
+        # where the letters stand: runs of them by their place in the folded text
+        starts, places, n = [], [], 0
+        for m in _LETTERS.finditer(low):
+            starts.append(n)
+            places.append(m.start())
+            n += m.end() - m.start()
+
+        def place(k: int) -> int:
+            i = bisect_right(starts, k) - 1
+            return places[i] + k - starts[i]
+
+        out = [(place(a), place(b - 1) + 1) for a, b in spans if b > a] + alone
         out.sort()
         merged: list[tuple[int, int]] = []
         for a, b in out:
@@ -310,8 +445,7 @@ class Furniture:
 
 #: Signs between a running line and a number attached to it.
 _BESIDE = " \t|·–—-[].,;:©*"
-#: Characters before a running line in which its number and signs stand.
-_BESIDE_CHARS = 32
+_SIGNS_BESIDE = " \t|·©–—-"
 
 
 def roman(n: int) -> str:
@@ -323,7 +457,7 @@ def roman(n: int) -> str:
     return out
 
 
-def page_spans(text: str, page: int | None, offset: int, running: list[tuple[int, int]], note: bool) -> list[tuple[int, int]]:
+def page_spans(text: str, page: int | None, offset: int, running: list[tuple[int, int]], note: bool, beside_numbers: Iterable[str] = ()) -> list[tuple[int, int]]:
     """Spans of page numbers: lines of their own, or, where line breaks are gone, the page's own number between words."""
     out = []
     if "\n" in text or len(text) < 14:
@@ -337,6 +471,7 @@ def page_spans(text: str, page: int | None, offset: int, running: list[tuple[int
         if n < 1 or str(n) not in text and roman(n) not in text:
             return out
         pattern = rf"(?<![^\s])(?:[-–—] {n} [-–—]|\[{n}\]|(?:p\.|Page|page|S\.|Seite) ?{n}|{n}[.*]?|{roman(n)})(?=\s|$)"
+        own = []
         for m in re.finditer(pattern, text):
             before, after = text[: m.start()].rstrip(), text[m.end() :].lstrip()
             loose = m.group().strip("[]").isalnum()
@@ -344,14 +479,16 @@ def page_spans(text: str, page: int | None, offset: int, running: list[tuple[int
                 continue
             if note and m.start() == 0 or after[:5] == "[sic]" or before and before[-1] in ",(*=<>#~$|^&" or after and after[0] in "*=<>|^%)":
                 continue
-            last = re.search(r"([^\W\d_]+)\.?$", before)
-            first = re.match(r"[^\W\d_]+", after)
+            last, first = _LAST_WORD.search(before[-40:]), _FIRST_WORD.match(after)
             bare = m.group()[0].isdigit()
-            if bare and (first and first.group().lower() in _COUNTED or last and last.group(1).lower() in _COUNTING):
+            if bare and (first and _AFTER + first.group().lower() in beside_numbers or last and _BEFORE + last.group(1).lower() in beside_numbers):
                 continue
             if m.group() in ("i", "I", "c", "d", "l", "m", "v", "x") and before and after and n != 1:
                 continue
-            out.append(m.span())
+            own.append(m)
+        # a page prints its number once: beside one with marks, bare ones belong to the text
+        marked = [m for m in own if not m.group().rstrip(".*").isalnum()]
+        out += [m.span() for m in marked or own]
     return out
 
 
@@ -367,13 +504,17 @@ def unknown_tokens(text: str, reader: Reader) -> set[str]:
     return out
 
 
-def judge(text: str, page: int | None, offset: int, kind: str, reader: Reader, furniture: Furniture, names: Counter, tokens: set[str]) -> dict:
-    """Spans and words of the noise in one record; tokens: its unknown tokens, names: in how many records of the group each stands."""
+def judge(text: str, page: int | None, offset: int, kind: str, reader: Reader, furniture: Furniture, names: Counter, tokens: set[str], around: Callable[[], str] | None = None) -> dict:
+    """Spans and words of the noise in one record.
+
+    tokens: its unknown tokens, names: in how many records of the group each stands,
+    around: gives the text of the group.
+    """
     running = furniture.spans(text) if kind not in ("heading", "table") else []
-    numbers = page_spans(text, page, offset, running, kind == "footnote") if kind not in ("heading", "caption") else []
+    numbers = page_spans(text, page, offset, running, kind == "footnote", reader.beside_numbers) if kind not in ("heading", "caption") else []
     body = without_furniture(text, running + numbers, None if page is None else page + offset) if running or numbers else text
     breaks, fragments = [], set()
-    if any(x in body for x in BREAK_MARKS):
+    if _BREAK_SIGN.search(body):
         lined = "\n" in text
         for m in _BREAK.finditer(body):
             first, second = m.group(1), m.group(2) or ""
@@ -394,19 +535,12 @@ def judge(text: str, page: int | None, offset: int, kind: str, reader: Reader, f
     for t in tokens:
         if t in fragments or len(t) < 2:
             continue
-        plain = t.isalpha()
-        if plain and t[0].isupper() and not t.isupper() and t[1:].islower():
-            w = reader.right(t, text)
-            if not w:
-                # a name: another one, far more common here, that a confusion leads to
-                for read, stood in CONFUSIONS[9:16]:
-                    if read in t[1:]:
-                        other = t[0] + t[1:].replace(read, stood, 1)
-                        if names.get(other, 0) >= 3 * names.get(t, 1) and names.get(other, 0) >= 3:
-                            w = other
-                            break
-        else:
-            w = reader.right(t, text)
+        w = reader.right(t, text, around)
+        if not w and t[0].isupper() and t[1:].islower() and t.isalpha():
+            # a name: another one, far more common here, that a confusion leads to
+            more = max(3, 3 * names.get(t, 1))
+            near = (t[:k] + stood + t[k + len(read) :] for read, stood in reader.letters for k in range(1, len(t)) if t.startswith(read, k))
+            w = next((x for x in near if names.get(x, 0) >= more), None)
         if w:
             misread[t] = w
     for m in breaks:
@@ -424,20 +558,29 @@ def without_furniture(text: str, spans: list[tuple[int, int]], page: int | None)
         if a < at:
             continue
         # the page's own number and signs beside a running line go with it, other numbers are text
-        tail = max(at, a - _BESIDE_CHARS)
-        before = re.search(rf"\s*[|·–—-]?\s*{number}[ \t|·©–—-]*$", text[tail:a]) if a > at else None
-        after = re.match(rf"[.,*]?[ \t|·–—-]*{number}\s*", text[b:])
-        left = text[at : tail + before.start()] if before else ""
+        left = _without_number(text[at:a], page)
         # a mark that breaks a word stays
-        if before and (m := re.match(rf"[{_MARKS}]", before.group())) and left[-1:].isalpha():
-            left += m.group()
+        if left[-1:].isalpha() and at + len(left) < a and text[at + len(left)] in BREAK_MARKS:
+            left += text[at + len(left)]
         out.append(left)
+        after = re.match(rf"[.,*]?[ \t|·–—-]*{number}\s*", text[b:])
         at = b + after.end()
         out.append("\n" if "\n" in text else " ")
     out.append(text[at:])
     return "".join(out)
 
 
+def _without_number(left: str, page: int | None) -> str:
+    """What stands before a running line, without the page's own number and signs at its end."""
+    r = left.rstrip(_SIGNS_BESIDE)
+    for number in (f"[{page}]", str(page)) if page else ():
+        if r.endswith(number) and not r[: -len(number)][-1:].isdigit():
+            r = r[: -len(number)].rstrip()
+            break
+    r = r.rstrip()
+    return r[:-1].rstrip() if r[-1:] and r[-1] in "|·–—-" else r
+
+
 def reflow(text: str, found: dict, reader: Reader, rows: bool = False) -> str:
     """The text without furniture, words joined and corrected, lines run together into paragraphs; rows: each line is a table's row and stays one."""
     t = without_furniture(text, found["running"] + found["numbers"], found["page"])
@@ -472,8 +615,9 @@ def _forms_told(blocks: DataFrame, rows: DataFrame) -> DataFrame:
             at, out = [], []
             for i, text in enumerate(b.column(2).to_pylist()):
                 low = text.lower()
-                folded = _NO_LETTERS.sub("", low if len(low) == len(text) else text)
+                folded = "".join(_LETTERS.findall(low if len(low) == len(text) else text))
                 own = {folded[k : k + LEAST_FORM] for k in range(len(folded) - LEAST_FORM + 1)}
+                own |= {f for line in text.split("\n") if len(line) < 40 and SHORT_FORM <= len(f := fold(line)) < LEAST_FORM}
                 at += [i] * len(own)
                 out += own
             take = pa.array(at, pa.int32())
@@ -517,9 +661,11 @@ def scan_noise(
             F.lit("segments").alias("origin"), F.col("id").alias("record_key"), F.col(book).alias("book"), F.col("page_json").cast("int").alias("page"), F.col("kind"), F.col("source_text").alias("text")
         )
         rows = b.unionByName(s.join(scanned, "book", "left_semi"))
-    words = vocabulary(cut(word_counts(rows.where("origin = 'segments' or kind = 'text'"), "text")))
-    shipped = spark.sparkContext.broadcast(words)
-    bucket = F.coalesce(F.floor(F.col("page") / stretch), -F.pmod(F.xxhash64("record_key"), F.lit(1024)) - 1)
+    counts = cut(word_counts(rows.where("origin = 'segments' or kind = 'text'"), "text"))
+    shipped = spark.sparkContext.broadcast(vocabulary(counts))
+    release(counts)
+    loose = rows.where(F.col("page").isNull()).groupBy(F.col("book").alias("_book")).agg(F.ceil(F.count("*") / LOOSE_RECORDS).alias("_parts"))
+    bucket = F.coalesce(F.floor(F.col("page") / stretch), -F.pmod(F.xxhash64("record_key"), F.col("_parts")) - 1)
     schema = "origin string, record_key string, noise array<string>" + (", clean_text string" if with_text else "")
 
     def group(p: pd.DataFrame) -> pd.DataFrame:
@@ -534,6 +680,7 @@ def scan_noise(
         furniture = Furniture(p.loc[p["origin"] == "forms", "text"])
         keep = p[(p["origin"] == "segments") | is_block & (p["kind"] == "text")]
         odd = [unknown_tokens(t, reader) if isinstance(t, str) else set() for t in keep["text"]]
+        around = cache(lambda: f" {' '.join(' '.join(t.lower().split()) for t in keep['text'] if isinstance(t, str))} ")
         for tokens in odd:
             names.update(tokens)
         out = []
@@ -541,14 +688,14 @@ def scan_noise(
             if not isinstance(text, str) or not text:
                 out.append((origin, key, [], text if isinstance(text, str) else None))
                 continue
-            found = judge(text, None if page != page else int(page), offset, kind or "", reader, furniture, names, tokens)
+            found = judge(text, None if page != page else int(page), offset, kind or "", reader, furniture, names, tokens, around)
             noise = [n for n, k in (("hyphen_break", "breaks"), ("misread", "misread"), ("running_line", "running"), ("page_number", "numbers")) if found[k]]
             out.append((origin, key, noise, reflow(text, found, reader, kind == "table") if with_text else text))
         r = pd.DataFrame(out, columns=["origin", "record_key", "noise", "clean_text"])
         return r if with_text else r[["origin", "record_key", "noise"]]
 
-    placed = rows.withColumn("stretch", bucket)
-    told = _forms_told(b.withColumn("stretch", bucket), placed.where("origin = 'segments' or kind = 'text'"))
+    placed = rows.join(loose, F.col("book").eqNullSafe(F.col("_book")), "left").withColumn("stretch", bucket).drop("_book", "_parts")
+    told = _forms_told(b.withColumn("stretch", F.floor(F.col("page") / stretch)), placed.where("origin = 'segments' or kind = 'text'"))
     forms = told.select(F.lit("forms").alias("origin"), F.col("form").alias("record_key"), "book", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("kind"), F.col("form").alias("text"), "stretch")
     judged = placed.where("origin = 'segments' or kind in ('text', 'number')")
     return judged.unionByName(forms).groupBy("book", "stretch").applyInPandas(group, schema)
@@ -561,5 +708,5 @@ def _reader(shipped) -> Reader:
     key = id(shipped)
     if key not in _readers:
         _readers.clear()
-        _readers[key] = Reader(shipped.value)
+        _readers[key] = Reader(*shipped.value)
     return _readers[key]

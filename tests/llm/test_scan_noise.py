@@ -1,6 +1,6 @@
 from collections import Counter
 
-from quire.llm.scan_noise import Furniture, Reader, Trie, aligned, judge, page_spans, roman, scan_noise
+from quire.llm.scan_noise import CONFUSIONS, Furniture, Reader, Trie, aligned, fold, judge, learned_confusions, page_spans, roman, scan_noise, vocabulary, without_furniture
 
 BODY = "The northern garrison supported the manuscript of the second volume. The register lists 439 entries, and the window was closed. "
 B = "id string, book_id string, page_index int, label string, content string, origin string, noise string"
@@ -100,3 +100,50 @@ def test_words_beside_decide_between_candidates():
     reader = Reader({"dam": 9, "elam": 50, "the": 500, "held": 40})
     found = [judge(t, None, 1, "paragraph", reader, Furniture([]), Counter(), {"clam"})["misread"] for t in ("The dam held, the clam held.", "The clam held.")]
     assert found == [{"clam": "dam"}, {"clam": "elam"}] and reader.right("elan") is None
+
+
+def test_single_edits_where_the_context_holds_the_word(spark):
+    extra = [(f"c{i}", "bk", 2, "text", f"The {w} was closed. The northern {g} supported the manuscript.", "", "") for i, (w, g) in enumerate([("windox", "garrson"), ("wimdow", "garriison"), ("windowe", "garrison")])]
+    extra += [("d", "bk", 2, "text", "Only a windox stood.", "", ""), ("e", "bk", 2, "text", "The Windox was closed.", "", "")]
+    rows = {r.record_key: r for r in scan_noise(*frames(spark, extra), with_text=True).where("origin = 'blocks'").collect()}
+    assert all(rows[f"c{i}"].noise == ["misread"] and rows[f"c{i}"].clean_text == "The window was closed. The northern garrison supported the manuscript." for i in range(3))
+    assert rows["d"].noise == rows["e"].noise == []
+
+
+def test_confusions_are_learned(spark):
+    words = [f"{a}{b}q{c}" for a in ("mar", "gar", "tol", "ben", "sil") for b in ("en", "ol", "ut") for c in ("er", "an", "is")]
+    rows = [(w, 500) for w in words] + [(w.replace("q", "zz"), 2) for w in words[:30]] + [("marenquer", 2), ("tolxlqer", 2), ("12", 40)]
+    counts = spark.createDataFrame(rows, "word string, n long")
+    assert learned_confusions(counts, dict(rows[: len(words)])) == [("zz", "q")]
+    known, confusions, sides = vocabulary(counts.union(spark.createDataFrame([("\x01marenqer", 400), ("\x02marenqan", 20)], counts.schema)))
+    assert ("zz", "q") in confusions and set(known) == set(words) and sides == {"\x01marenqer"}
+    assert Reader(known, confusions).right("silutzzis") == "silutqis" and vocabulary(counts.limit(0)) == ({}, CONFUSIONS, set())
+
+
+def test_numbers_of_the_text(spark):
+    assert page_spans("The register lists 12 entries", 11, 1, [], False) == [(19, 21)]
+    assert page_spans("The register lists 12 entries", 11, 1, [], False, {"\x01lists"}) == page_spans("He counted 12 entries", 11, 1, [], False, {"\x02entries"}) == []
+
+
+def test_short_running_lines(spark):
+    extra = [(f"k{i}", "bk", i, "header", "Vorwort", "", "") for i in range(12)] + [("x1", "bk", 3, "text", "The register\nVorwort\nwas closed.", "", ""), ("x2", "bk", 3, "text", "The vorwort was closed.", "", "")]
+    seg = [("s1", "bk", None, "paragraph", "The garrison\nVORWORT 12\nwas closed.", 1)]
+    noise = {r.record_key: r.noise for r in scan_noise(*frames(spark, extra, seg)).collect()}
+    assert noise["x1"] == ["running_line"] and noise["x2"] == [] and noise["s1"] == ["running_line"]
+
+
+def test_number_and_signs_far_before_a_running_line():
+    line = "The Chronicle of Lodlenvel"
+    text = "It was closed. 12 " + "-" * 60 + " " + line
+    found = Furniture([fold(line)]).spans(text)
+    assert without_furniture(text, found, 12).strip() == "It was closed." and without_furniture(text, found, 13).strip() == "It was closed. 12"
+    assert without_furniture("the garri- " + line + "son", [(11, 37)], 12) == "the garri- son"
+
+
+def test_edits_of_the_automaton():
+    words = {"window": 9, "winter": 5, "garden": 7, "market": 3, "mark": 2, "windows": 1}
+    alphabet = "abdegikmnorstwz"
+    for w in words:
+        near = {w[:i] + x + w[i + k :] for i in range(len(w) + 1) for k in (0, 1) for x in ("", *alphabet)}
+        for q in near:
+            assert w in Trie(words).near(q, confusions=0, edits=1)
