@@ -1,14 +1,16 @@
 """Texts cut off by field limits or in mid-transfer.
 
 Per source, histograms of text lengths in characters and in bytes are tested for
-spikes: lengths far more frequent than their neighbourhood. A text without
-terminal punctuation is cut; whether it lies at a spike tells the limit from a
-broken transfer. Where the ending alone cannot tell, as with an ellipsis that
-may be the author's, the spike decides.
+spikes: lengths far more frequent than their neighbourhood. A text at a spike without
+terminal punctuation was cut by a limit; an ellipsis, which may be the author's, counts
+there as the mark of the cut. A text that ends open or with a cut mark at no
+spike broke off in transfer; the two are told apart as causes.
 
 A text may end without terminal punctuation and yet be complete: with a list
-item, table row, signature, address or closing remark. Their forms are tested on
-the last line.
+item, table row, signature, address or closing remark. Closing remarks are learned: a
+last line that closes several different texts of the corpus is one, for a text cut
+anywhere ends as no other does. Common ones are known beforehand. The other forms are
+tested on the last line.
 
 Everything runs inside the JVM. The histograms are aggregated per (source,
 length), so a source that holds a third of all rows leaves at most as many rows
@@ -20,13 +22,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Marks left at a cut, closing remarks of complete texts.
+#: Marks left at a cut, common closing remarks of complete texts.
 CUT_MARKS = ["[more]", "[…]", "[...]", "�"]
 CLOSINGS = (
-    "end of (?:the )?(?:excerpt|extract|document|text|chapter)|the end|end|finis|fin|fin de l['’]extrait|fin du texte|ende|ende des (?:auszugs|textes)|"
+    "the end|end|finis|fin|fin du texte|ende|ende des textes|end of (?:the )?(?:excerpt|extract|document|text|chapter)|"
     "节选完|完|全文完|（完）|待续|to be continued|fortsetzung folgt|à suivre|yours (?:sincerely|faithfully|truly),?|(?:best|kind) regards,?|"
     "mit freundlichen grüßen,?|hochachtungsvoll,?|cordialement,?|此致敬礼|此致|敬礼"
 )
+#: Different texts that a line must close to be a closing remark.
+CLOSES_TEXTS = 3
 BLANK = " \t\r\n\u000b\f\u0085   　​﻿"
 #: Neighbouring lengths on either side against which a length is compared.
 NEIGHBOURHOOD = 40
@@ -87,20 +91,37 @@ def length_spikes(documents: DataFrame, text_col: str = "text", source_col: str
     ).select("source", "measure", "length", "texts")
 
 
+def closing_lines(rows: DataFrame) -> DataFrame:
+    """(_line): hashes of the last lines that close several different texts; rows: text, ending, _line.
+
+    A line that is the whole text closes nothing. Texts are compared by hash, so copies count once.
+    """
+    last = rows.where((F.col("ending") == "open") & F.col("_several")).select("_line", F.xxhash64("text").alias("_text")).distinct()
+    return last.groupBy("_line").agg(F.count("*").alias("_texts")).where(F.col("_texts") >= CLOSES_TEXTS).select("_line")
+
+
 def truncation(documents: DataFrame, key: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """key, source, ending, at_limit, cut for every row.
+    """key, source, ending, at_limit, cut, cause for every row.
 
-    cut is true for texts that end open or with a cut mark, and for texts that end
-    with an ellipsis at a length spike of their source; at_limit says whether
-    the length is such a spike. Null and blank texts are not cut. Rows without a
-    source form one source. Repeated rows stay; other columns are not looked at.
+    at_limit says whether the length is a spike of the source. cut is true for texts that
+    end open or with a cut mark, and for texts that end with an ellipsis at a spike; their
+    cause is ``limit`` at a spike, else ``transfer``. Null and blank texts are not cut.
+    Rows without a source form one source. Repeated rows stay; other columns are not
+    looked at.
     """
     rows = documents.select(F.col(key), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     spikes = length_spikes(rows)
-    whole = F.when(F.col("text").endswith("�"), F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
-    measured = rows.select(
-        key, "source", ending(F.col("text")).alias("ending"), F.length("text").alias("_chars"), F.octet_length(whole).alias("_bytes")
-    )
+    whole = F.when(F.col("text").endswith("\ufffd"), F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
+    bare, line = _last_line(F.col("text"))
+    # copies have one hash, so the text itself is not carried along
+    judged = rows.select(
+        key, "source", ending(F.col("text")).alias("ending"), F.length("text").alias("_chars"), F.octet_length(whole).alias("_bytes"),
+        F.xxhash64(F.lower(line)).alias("_line"), (line != bare).alias("_several"), F.xxhash64("text").alias("text"),
+    )
+    closings = closing_lines(judged).select(F.col("_line").alias("_closing"))
+    # only open endings look for their line
+    wanted = F.when(F.col("ending") == "open", F.col("_line"))
+    measured = judged.join(closings, wanted == F.col("_closing"), "left").withColumn("ending", F.when(F.col("_closing").isNotNull(), "closing").otherwise(F.col("ending")))
     limits = spikes.groupBy("source").agg(
         F.collect_list(F.when(F.col("measure") == "chars", F.col("length"))).alias("_char_limits"),
         F.collect_list(F.when(F.col("measure") == "bytes", F.col("length"))).alias("_byte_limits"),
@@ -110,14 +131,16 @@ def truncation(documents: DataFrame, key: str = "doc_id", text_col: str = "text"
         F.array_contains("_char_limits", F.col("_chars")) | F.array_contains("_byte_limits", F.col("_bytes")), F.lit(False)
     )
     cut = F.coalesce(F.col("ending").isin("open", "marked") | ((F.col("ending") == "ellipsis") & at_limit), F.lit(False))
-    return met.select(key, "source", "ending", at_limit.alias("at_limit"), cut.alias("cut"))
+    cause = F.when(cut, F.when(at_limit, "limit").otherwise("transfer"))
+    return met.select(key, "source", "ending", at_limit.alias("at_limit"), cut.alias("cut"), cause.alias("cause"))
 
 
 def truncation_report(judged: DataFrame) -> DataFrame:
-    """source, documents, cut, cut_share, cut_at_limit from truncation()."""
+    """source, documents, cut, cut_share, cut_at_limit, cut_in_transfer from truncation()."""
     return judged.groupBy("source").agg(
         F.count("*").alias("documents"),
         F.count_if("cut").alias("cut"),
         F.round(F.count_if("cut") / F.count("*"), 6).alias("cut_share"),
-        F.count_if(F.col("cut") & F.col("at_limit")).alias("cut_at_limit"),
+        F.count_if(F.col("cause") == "limit").alias("cut_at_limit"),
+        F.count_if(F.col("cause") == "transfer").alias("cut_in_transfer"),
     )

@@ -34,3 +34,17 @@ def test_spikes_decide_ellipses(spark):
 def test_very_long_text(spark):
     df = spark.createDataFrame([(1, "a", "word " * 400_000 + "and")], "doc_id long, source string, text string")
     assert truncation(df).first().cut
+
+
+def test_closing_remarks_are_learned(spark):
+    texts = [f"Text number {'abcdefgh'[i]} is told.\nHier endet der Auszug" for i in range(4)] + ["Other.\nSo he went to"] * 4 + ["Other.\nSo she went", "So she went"]
+    df = spark.createDataFrame([(i, "a", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    got = {r.doc_id: (r.ending, r.cut, r.cause) for r in truncation(df).collect()}
+    assert all(got[i] == ("closing", False, None) for i in range(4)) and all(got[i] == ("open", True, "transfer") for i in range(4, 10))
+
+
+def test_causes(spark):
+    rows = [(i, "a", "x" * (40 + 7 * i) + ".") for i in range(100)] + [(1000 + i, "a", "y" * 499 + "z") for i in range(40)] + [(2000, "a", "He was")]
+    judged = truncation(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    assert {(r.cause, r["count"]) for r in judged.where("cut").groupBy("cause").count().collect()} == {("limit", 40), ("transfer", 1)}
+    assert [(r.cut_at_limit, r.cut_in_transfer) for r in truncation_report(judged).collect()] == [(40, 1)]
