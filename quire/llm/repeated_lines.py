@@ -31,7 +31,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +55,9 @@ _ONLY_NUMBER = re.compile(rf"[\W_]*(?:(?:{PAGE_WORDS})(?![^\W\d_])[\W_]*)?{_NUMB
 _ATTACHED = rf"(?:(?:{PAGE_WORDS})[. ]{{1,2}})?(?:\d+[*†]?|{_ROMAN}(?=[\s\])|·—–:-]|\.\s|$))"
 _AT_START = re.compile(rf"[\W_]*{_ATTACHED}(?=[\W\d_]|$)")
 _AT_END = re.compile(rf"(?<![^\W_]){_ATTACHED}[\W_]*$")
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_ROMAN_LETTERS = "ivxlcdm"
+_NUMBER_STARTS = _ROMAN_LETTERS + "".join(sorted({w[0] for w in PAGE_WORDS.split("|")}))
 _FOLD = str.maketrans(ACCENTED + "ß", PLAIN + "s")
 _TAIL = 32
 _MARKS = " \t\r\u00a0\u2002\u2003\u2009\u3000!\"#%&'()*+,-./:;<=>?@[]^_`{|}~§°·†‡•–—―…«»‘’“”„"
@@ -67,14 +71,19 @@ def is_page_number(line: str) -> bool:
 def line_form(line: str) -> str | None:
     """The folded form of a line; None where no letters are left or the line is only a page number."""
     low = line.lower()
-    if _ONLY_NUMBER.match(low):
-        return None
-    if m := _AT_START.match(low):
-        low = low[m.end() :]
-    # the longest number with its word has fewer signs than this; marks behind it do not count
-    if m := _AT_END.search(low, max(0, len(low.rstrip(_MARKS)) - _TAIL)):
-        low = low[: m.start()]
-    form = _NO_LETTERS.sub("", low)
+    first = low[:1]
+    # most lines open and close with letters that no number and no word before one has there
+    if not first.isalpha() or first in _NUMBER_STARTS:
+        if _ONLY_NUMBER.match(low):
+            return None
+        if m := _AT_START.match(low):
+            low = low[m.end() :]
+    bare = low.rstrip(_MARKS)
+    if not bare[-1:].isalpha() or bare[-1] in _ROMAN_LETTERS:
+        # the longest number with its word has fewer signs than this; marks behind it do not count
+        if m := _AT_END.search(low, max(0, len(bare) - _TAIL)):
+            low = low[: m.start()]
+    form = "".join(_LETTERS.findall(low))
     if not form.isascii():
         form = form.translate(_FOLD)
     return form if len(form) > 1 else None
@@ -95,7 +104,7 @@ def lines_of(blocks: DataFrame, source: str, page: str, key: str, content: str,
             rows = pa.array(of, pa.int32())
             at = b.column(1).take(rows)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(rows), pa.compute.floor(pa.compute.divide(at.cast(pa.float64()), float(stretch))).cast(pa.int64()), at, b.column(2).take(rows), pa.array(no, pa.int32()), pa.array(form, pa.string())],
+                [b.column(0).take(rows), pc.floor(pc.divide(at.cast(pa.float64()), float(stretch))).cast(pa.int64()), at, b.column(2).take(rows), pa.array(no, pa.int32()), pa.array(form, pa.string())],
                 ["source", "stretch", "page", "block_id", "line_no", "form"],
             )
 
@@ -153,30 +162,72 @@ class TokenTree:
         for path in under:
             self.leaves.setdefault(path, []).append((n, form))
 
-    def frequent(self, pages: dict[str, int], least: float) -> list[tuple[str, int, int]]:
-        """(form, its pages, bound) of forms that may, with their damaged printings, be on at least so many pages.
-
-        It stands on two pages, or is the most printed form of one of its leaves.
-        """
-        total = {path: sum(n for n, _ in leaf) for path, leaf in self.leaves.items()}
-        out = []
-        for form, n in pages.items():
-            under = template_paths(form)
-            bound = n + sum(total[x] - n for x in under)
-            if bound >= least and (n >= 2 or any((n, form) == max(self.leaves[x]) for x in under)):
-                out.append((form, n, bound))
-        return out
-
     def match(self, form: str, pages: int = 0) -> str | None:
         """The most printed template of which a form is a printing; what is damaged is on fewer pages than what it was."""
         met = {t for path in paths(form) for t in self.leaves.get(path, ())}
         return next((t for n, t in sorted(met, reverse=True) if form == t or n > pages and same_line(form, t)), None)
 
 
-def _page_counts(lines: pa.Table) -> dict[str, int]:
-    """Distinct pages of each form."""
-    once = lines.group_by(["form", "page"]).aggregate([]).group_by("form").aggregate([([], "count_all")])
-    return dict(zip(once.column("form").to_pylist(), once.column("count_all").to_pylist()))
+def _page_counts(lines: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """The forms in order and their distinct pages."""
+    once = lines.group_by(["form", "page"]).aggregate([]).group_by("form").aggregate([([], "count_all")]).sort_by("form")
+    return once.column("form").combine_chunks(), once.column("count_all").to_numpy()
+
+
+def _short(forms: pa.Array) -> np.ndarray:
+    """Which forms have tokens of less than full length; the others are handled by columns."""
+    return np.asarray(pc.less_equal(pc.utf8_length(forms), 2 * TOKEN))
+
+
+def _tokens(forms: pa.Array, at: int, stop: int | None) -> pa.Array:
+    return pc.utf8_slice_codeunits(forms, at, stop)
+
+
+def frequent(forms: pa.Array, pages: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(places of forms, their bounds): forms that may, with their damaged printings, be on at least so many pages.
+
+    forms are in order. A leaf counts the pages of all its forms. A form's bound is its
+    pages and those of all others of about its length in the leaves where it would stand
+    as a template. It stands on two pages, or is the most printed form of one of its leaves.
+    """
+    short = _short(forms)
+    long_at, short_at = np.nonzero(~short)[0], np.nonzero(short)[0]
+    long, size = forms.take(pa.array(long_at)), np.asarray(pc.utf8_length(forms))
+    kept = {"<": [], ">": []}
+    for i, f in zip(short_at.tolist(), forms.take(pa.array(short_at)).to_pylist()):
+        for path in paths(f):
+            kept[path[0]].append((i, path[1:]))
+    bound, most, span = pages.astype(np.int64), np.zeros(len(forms), bool), int(size.max()) + 3
+    weight = pages.astype(np.int64) * len(forms) + np.arange(len(forms))
+
+    def leaves(at: np.ndarray, tokens: pa.Array, stands: np.ndarray) -> None:
+        code = np.asarray(tokens.dictionary_encode().indices)
+        top = np.full(code.max() + 1, -1)
+        np.maximum.at(top, code, weight[at])
+        a, c = at[stands], code[stands]
+        most[a[top[c] == weight[a]]] = True
+        # pages by leaf and length of the form: what is longer or shorter by more than two letters is another line
+        cell, where = np.unique(code * span + size[at], return_inverse=True)
+        total = np.append(np.bincount(where, pages[at]).astype(np.int64), 0)
+        for d in range(-2, 3):
+            want = c * span + size[a] + d
+            k = np.searchsorted(cell, want)
+            k[(k == len(cell)) | (cell[np.minimum(k, len(cell) - 1)] != want)] = len(cell)
+            np.add.at(bound, a, total[k])
+        np.add.at(bound, a, -pages[a])
+
+    for place, cut_at in (("<", (0, TOKEN)), (">", (-TOKEN, None))):
+        at = np.concatenate([long_at, np.array([i for i, _ in kept[place]], long_at.dtype)])
+        tokens = pa.concat_arrays([_tokens(long, *cut_at), pa.array([t for _, t in kept[place]], pa.string())])
+        if len(at):
+            leaves(at, tokens, np.ones(len(at), bool))
+    middle = np.nonzero(size >= LONG_FORM - 2)[0]
+    if len(middle):
+        of = forms.take(pa.array(middle))
+        moved = [_tokens(of, k, k + TOKEN) for k in (TOKEN, TOKEN - 1, TOKEN + 1)]
+        leaves(np.tile(middle, 3), pa.concat_arrays(moved), np.concatenate([size[middle] >= LONG_FORM, np.zeros(2 * len(middle), bool)]))
+    found = np.nonzero((bound >= least) & ((pages >= 2) | most))[0]
+    return found, bound[found]
 
 
 def _local(lines: pa.Table, size: pa.Table) -> pa.Table:
@@ -185,24 +236,32 @@ def _local(lines: pa.Table, size: pa.Table) -> pa.Table:
     if not lines.num_rows or not size.num_rows:
         return pa.table([pa.array([], t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64())], names)
     part, whole = size.column("_part")[0].as_py(), size.column("_stretches")[0].as_py() == 1
-    pages, tree = _page_counts(lines), TokenTree()
-    for form, n in pages.items():
-        tree.add(form, n, paths(form))
-    found = tree.frequent(pages, part if whole else part * REPORTED)
-    source = lines.column("source")[0].as_py()
-    return pa.table([pa.array([source] * len(found), pa.string()), *(pa.array([x[k] for x in found], t) for k, t in ((0, pa.string()), (1, pa.int64()), (2, pa.int64()))), pa.array([part] * len(found), pa.float64())], names)
+    forms, pages = _page_counts(lines)
+    found, bound = frequent(forms, pages, part if whole else part * REPORTED)
+    source, n = lines.column("source")[0].as_py(), len(found)
+    return pa.table([pa.array([source] * n, pa.string()), forms.take(pa.array(found)), pa.array(pages[found], pa.int64()), pa.array(bound, pa.int64()), pa.array([part] * n, pa.float64())], names)
 
 
 def _matched(lines: pa.Table, known: pa.Table) -> pa.Table:
     """Lines of one stretch that are printings of a template."""
+    printed = lines.select(["source", "page", "block_id", "line_no"])
+    if not lines.num_rows or not known.num_rows:
+        return printed.slice(0, 0).append_column("template", pa.array([], pa.string()))
     tree = TokenTree()
-    if lines.num_rows:
-        for form, n in zip(known.column("base").to_pylist(), known.column("base_pages").to_pylist()):
-            tree.add(form, n, template_paths(form))
-    found = {f: tree.match(f, n) for f, n in _page_counts(lines).items()} if tree.leaves else {}
+    for form, n in zip(known.column("base").to_pylist(), known.column("base_pages").to_pylist()):
+        tree.add(form, n, template_paths(form))
+    forms, pages = _page_counts(lines)
+    # forms of full tokens that no path leads to a leaf are sorted out by columns
+    met = _short(forms)
+    for place, cuts in (("<", [(0, TOKEN)]), (">", [(-TOKEN, None)]), ("|", [(k, k + TOKEN) for k in (TOKEN - 1, TOKEN, TOKEN + 1)])):
+        leaves = pa.array([x[1:] for x in tree.leaves if x[0] == place], pa.string())
+        for a, b in cuts if len(leaves) else ():
+            met = met | np.asarray(pc.is_in(_tokens(forms, a, b), leaves))
+    at = np.nonzero(met)[0]
+    found = {f: t for f, n in zip(forms.take(pa.array(at)).to_pylist(), pages[at].tolist()) if (t := tree.match(f, n))}
     coded = lines.column("form").combine_chunks().dictionary_encode()
     template = pa.array([found.get(f) for f in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
-    return lines.select(["source", "page", "block_id", "line_no"]).append_column("template", template).filter(template.is_valid())
+    return printed.append_column("template", template).filter(template.is_valid())
 
 
 def repeated_lines(
