@@ -41,7 +41,6 @@ from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache, lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -504,6 +503,17 @@ def unknown_tokens(text: str, reader: Reader) -> set[str]:
     return out
 
 
+def _breaks(text: str) -> Iterator[re.Match]:
+    """What _BREAK finds in a text, looked for only at the words before a mark and a blank."""
+    done = 0
+    for sign in _BREAK_SIGN.finditer(text):
+        at = sign.start()
+        word = max(text.rfind(" ", 0, at), text.rfind("\n", 0, at)) + 1
+        if at >= done and (m := _BREAK.search(text, max(word, done))) and m.end(1) == at:
+            done = m.end()
+            yield m
+
+
 def judge(text: str, page: int | None, offset: int, kind: str, reader: Reader, furniture: Furniture, names: Counter, tokens: set[str], around: Callable[[], str] | None = None) -> dict:
     """Spans and words of the noise in one record.
 
@@ -516,7 +526,7 @@ def judge(text: str, page: int | None, offset: int, kind: str, reader: Reader, f
     breaks, fragments = [], set()
     if _BREAK_SIGN.search(body):
         lined = "\n" in text
-        for m in _BREAK.finditer(body):
+        for m in _breaks(body):
             first, second = m.group(1), m.group(2) or ""
             if not second and body[m.end() :].strip() and not re.match(r"\s*[\W\d]", body[m.end() :]):
                 continue
@@ -539,8 +549,13 @@ def judge(text: str, page: int | None, offset: int, kind: str, reader: Reader, f
         if not w and t[0].isupper() and t[1:].islower() and t.isalpha():
             # a name: another one, far more common here, that a confusion leads to
             more = max(3, 3 * names.get(t, 1))
-            near = (t[:k] + stood + t[k + len(read) :] for read, stood in reader.letters for k in range(1, len(t)) if t.startswith(read, k))
-            w = next((x for x in near if names.get(x, 0) >= more), None)
+            for read, stood in reader.letters:
+                k = t.find(read, 1)
+                while k > 0 and not w:
+                    other = t[:k] + stood + t[k + len(read) :]
+                    if names.get(other, 0) >= more:
+                        w = other
+                    k = t.find(read, k + 1)
         if w:
             misread[t] = w
     for m in breaks:
@@ -602,13 +617,14 @@ def _forms_told(blocks: DataFrame, rows: DataFrame) -> DataFrame:
     or a half of one is found only where its first letters are, so they meet by grams.
     """
 
-    def group(p: pd.DataFrame) -> pd.DataFrame:
+    def group(t: pa.Table) -> pa.Table:
         lines = []
-        for page, kind, text in p[["page", "kind", "text"]].itertuples(index=False):
+        for page, kind, text in zip(*(t.column(c).to_pylist() for c in ("page", "kind", "text"))):
             several = text.splitlines()
-            lines += [(x, int(page), "alone" if len(several) == 1 and kind not in RUNNING_LABELS else kind) for x in several if x]
-        at = (p["book"].iloc[0], p["stretch"].iloc[0])
-        return pd.DataFrame([(*at, f) for f in sorted(running_forms(lines))], columns=["book", "stretch", "form"])
+            lines += [(x, page, "alone" if len(several) == 1 and kind not in RUNNING_LABELS else kind) for x in several if x]
+        forms = sorted(running_forms(lines))
+        rows = pa.array([0] * len(forms), pa.int32())
+        return pa.table([t.column("book").take(rows), t.column("stretch").take(rows), pa.array(forms, pa.string())], ["book", "stretch", "form"])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -624,7 +640,7 @@ def _forms_told(blocks: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(out, pa.string())], ["book", "stretch", "gram"])
 
     printed = blocks.where(F.col("page").isNotNull() & F.col("text").isNotNull() & (F.coalesce("kind", F.lit("")) != "number") & F.col("book").isNotNull())
-    forms = cut(printed.groupBy("book", "stretch").applyInPandas(group, "book string, stretch long, form string"))
+    forms = cut(printed.groupBy("book", "stretch").applyInArrow(group, "book string, stretch long, form string"))
     near = forms.withColumn("stretch", F.explode(F.array(F.col("stretch") - 1, "stretch", F.col("stretch") + 1))).where("stretch >= 0")
     half = F.floor(F.length("form") / 2).cast("int")
     starts = F.when(F.length("form") >= 20, F.array(F.left("form", F.lit(LEAST_FORM)), F.substring("form", half + 1, F.lit(LEAST_FORM)))).otherwise(F.array(F.left("form", F.lit(LEAST_FORM))))
@@ -668,37 +684,39 @@ def scan_noise(
     bucket = F.coalesce(F.floor(F.col("page") / stretch), -F.pmod(F.xxhash64("record_key"), F.col("_parts")) - 1)
     schema = "origin string, record_key string, noise array<string>" + (", clean_text string" if with_text else "")
 
-    def group(p: pd.DataFrame) -> pd.DataFrame:
+    def group(t: pa.Table) -> pa.Table:
         reader = _reader(shipped)
-        p = p.drop_duplicates(["origin", "record_key"])
-        is_block = p["origin"] == "blocks"
-        offsets, names = Counter(), Counter()
-        for page, text in p.loc[is_block & (p["kind"] == "number"), ["page", "text"]].itertuples(index=False):
-            if isinstance(text, str) and page == page and (m := re.search(r"\d+", text)):
-                offsets[int(m.group()) - int(page)] += 1
+        offsets, names, forms, once = Counter(), Counter(), [], {}
+        for origin, key, page, kind, text in zip(*(t.column(c).to_pylist() for c in ("origin", "record_key", "page", "kind", "text"))):
+            if origin == "forms":
+                forms.append(text)
+            elif origin == "segments" or kind == "text":
+                once.setdefault((origin, key), (page, kind, text))
+            elif page is not None and text and (m := re.search(r"\d+", text)):
+                offsets[int(m.group()) - page] += 1
         offset = offsets.most_common(1)[0][0] if offsets else 1
-        furniture = Furniture(p.loc[p["origin"] == "forms", "text"])
-        keep = p[(p["origin"] == "segments") | is_block & (p["kind"] == "text")]
-        odd = [unknown_tokens(t, reader) if isinstance(t, str) else set() for t in keep["text"]]
-        around = cache(lambda: f" {' '.join(' '.join(t.lower().split()) for t in keep['text'] if isinstance(t, str))} ")
+        furniture = Furniture(forms)
+        odd = [unknown_tokens(text, reader) if text else set() for _, _, text in once.values()]
+        around = cache(lambda: f" {' '.join(' '.join(text.lower().split()) for _, _, text in once.values() if text)} ")
         for tokens in odd:
             names.update(tokens)
-        out = []
-        for tokens, (origin, key, page, kind, text) in zip(odd, keep[["origin", "record_key", "page", "kind", "text"]].itertuples(index=False)):
-            if not isinstance(text, str) or not text:
-                out.append((origin, key, [], text if isinstance(text, str) else None))
+        noises, texts = [], []
+        for tokens, (page, kind, text) in zip(odd, once.values()):
+            if not text:
+                noises.append([])
+                texts.append(text)
                 continue
-            found = judge(text, None if page != page else int(page), offset, kind or "", reader, furniture, names, tokens, around)
-            noise = [n for n, k in (("hyphen_break", "breaks"), ("misread", "misread"), ("running_line", "running"), ("page_number", "numbers")) if found[k]]
-            out.append((origin, key, noise, reflow(text, found, reader, kind == "table") if with_text else text))
-        r = pd.DataFrame(out, columns=["origin", "record_key", "noise", "clean_text"])
-        return r if with_text else r[["origin", "record_key", "noise"]]
+            found = judge(text, page, offset, kind or "", reader, furniture, names, tokens, around)
+            noises.append([n for n, k in (("hyphen_break", "breaks"), ("misread", "misread"), ("running_line", "running"), ("page_number", "numbers")) if found[k]])
+            texts.append(reflow(text, found, reader, kind == "table") if with_text else text)
+        cols = [pa.array([o for o, _ in once], pa.string()), pa.array([k for _, k in once], pa.string()), pa.array(noises, pa.list_(pa.string()))]
+        return pa.table(cols + [pa.array(texts, pa.string())] * with_text, ["origin", "record_key", "noise", "clean_text"][: 3 + with_text])
 
     placed = rows.join(loose, F.col("book").eqNullSafe(F.col("_book")), "left").withColumn("stretch", bucket).drop("_book", "_parts")
     told = _forms_told(b.withColumn("stretch", F.floor(F.col("page") / stretch)), placed.where("origin = 'segments' or kind = 'text'"))
     forms = told.select(F.lit("forms").alias("origin"), F.col("form").alias("record_key"), "book", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("kind"), F.col("form").alias("text"), "stretch")
     judged = placed.where("origin = 'segments' or kind in ('text', 'number')")
-    return judged.unionByName(forms).groupBy("book", "stretch").applyInPandas(group, schema)
+    return judged.unionByName(forms).groupBy("book", "stretch").applyInArrow(group, schema)
 
 
 _readers: dict[int, Reader] = {}
