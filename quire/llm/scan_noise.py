@@ -694,7 +694,7 @@ def scan_noise(
                 once.setdefault((origin, key), (page, kind, text))
             elif page is not None and text and (m := re.search(r"\d+", text)):
                 offsets[int(m.group()) - page] += 1
-        offset = offsets.most_common(1)[0][0] if offsets else 1
+        offset = max(offsets, key=lambda o: (offsets[o], -abs(o), o), default=1)
         furniture = Furniture(forms)
         odd = [unknown_tokens(text, reader) if text else set() for _, _, text in once.values()]
         around = cache(lambda: f" {' '.join(' '.join(text.lower().split()) for _, _, text in once.values() if text)} ")
