@@ -46,9 +46,14 @@ told as (
     case when not m.inner_node then len(e.path) - 1 else list_position(e.path, m.parent) - 1 end as steps
   from ends e join marked m on m.node_id = e.place)
 """
+_closed = """, cut as (select node_id, path[:steps + 1] as path from told),
+below as (select unnest(path[2:]) as ancestor_id, node_id, cast(unnest(range(1, len(path))) as integer) as distance from cut)"""
 ORACLE = {
     "p4_found": _walk + "select node_id, state, anchor_id, cast(steps as integer) as steps from told where state <> 'rooted'",
     "p4_descendants": _walk
-    + """, cut as (select node_id, path[:steps + 1] as path from told)
-select unnest(path[2:]) as ancestor_id, node_id, cast(unnest(range(1, len(path))) as integer) as distance from cut""",
+    + _closed + " select ancestor_id, node_id, distance from below",
+    "p4_hierarchy": _walk
+    + _closed
+    + """ select t.node_id, t.state, t.anchor_id, cast(t.steps as integer) as steps, list_reverse(c.path) as path, coalesce(n, 0) as descendants
+from told t join cut c using (node_id) left join (select ancestor_id as node_id, count(*) as n from below group by 1) using (node_id)""",
 }

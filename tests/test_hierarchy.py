@@ -62,3 +62,15 @@ def test_a_chain_longer_than_peeling_and_a_long_cycle(spark):
     rows = [(f"c{i:04}", f"c{(i + 1) % 300:04}", 1, "", "") for i in range(300)] + [(f"x{i:04}", f"x{i - 1:04}" if i else "c0007", 1, "", "") for i in range(150)]
     got = {r.node_id: (r.state, r.anchor_id, r.steps) for r in hierarchy(spark.createDataFrame(rows, SCHEMA), peel_rounds=2).collect()}
     assert got["c0200"] == ("cycle", "c0000", 0) and got["x0149"] == ("below_cycle", "c0000", 150)
+
+
+@pytest.mark.parametrize("in_task", [15, 200])
+def test_contraction_over_many_tasks(spark, in_task):
+    random.seed(3)
+    links = {f"n{i:03}": None if i < 2 else f"n{random.randrange(i):03}" for i in range(60)} | {"o1": "gone", "o2": "o1", "c1": "c2", "c2": "c1", "c3": "c1"}
+    links |= {f"d{i:02}": f"d{i - 1:02}" if i else "n005" for i in range(30)}
+    placed = hierarchy(spark.createDataFrame([(k, v, 1, "x", "x") for k, v in links.items()], SCHEMA), peel_rounds=2, per_run=4, in_task=in_task).cache()
+    want = brute(links)
+    assert {r.node_id: (r.state, r.anchor_id, r.steps) for r in placed.collect()} == want
+    trail = {r.node_id: r.path for r in paths(placed, step=8).collect()}
+    assert trail.keys() == links.keys() and all(len(p) == want[v][2] + 1 and p[-1] == v and all(links[b] == a for a, b in zip(p, p[1:])) for v, p in trail.items())
