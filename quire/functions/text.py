@@ -38,7 +38,7 @@ def source_level(c: Column) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    """The five XML entities, the no-break blank and decimal references to Latin-1 characters."""
+    """The five XML entities, the no-break blank and the decimal reference to the apostrophe; others stay as they are."""
     for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(name), F.lit(sign))
     return c

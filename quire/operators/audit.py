@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 
+#: What is counted in sources and targets.
 FOOTNOTE_REF = r"\[\^[^\]]+\]"
 FORMULA = r"\$\s*\^\{?\d+\}?\s*\$"
 URL = r"https?://\S+"

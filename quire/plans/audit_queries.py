@@ -11,7 +11,7 @@ from quire.runtime import table
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "segments").select("id", "book_id", "source_hash", "kind", "source_text", "page_json", "parent_node_id", "level", "translatable").dropDuplicates(["id"])
+    return table(spark, d, "segments").select("id", "book_id", "source_hash", "kind", "source_text", "page_json", "parent_node_id", "level", "translatable").distinct()
 
 
 def _last(spark: SparkSession, d: str, *more: str) -> DataFrame:
@@ -36,7 +36,7 @@ def qa_flags_by_check(spark, d):
 
 def qa_planted_parity(spark, d):
     """Parity flags of the planted pairs."""
-    planted = table(spark, d, "qa_planted_errors").dropDuplicates(["id"])
+    planted = table(spark, d, "qa_planted_errors").distinct()
     return audit.parity_flags(planted.select(F.col("id").alias("segment_id"), "kind", F.coalesce("source_text", F.lit("")).alias("source_text"), F.coalesce("translated_text", F.lit("")).alias("target")))
 
 

@@ -12,11 +12,11 @@ from quire.runtime import cut, table
 
 
 def _nodes(spark, d):
-    return table(spark, d, "nodes").select("id", "book_id", "kind", "level", "title_source", "page_json", "page_print", "parent_id", "zone", "numbering_path").dropDuplicates(["id"])
+    return table(spark, d, "nodes").select("id", "book_id", "kind", "level", "title_source", "page_json", "page_print", "parent_id", "zone", "numbering_path").distinct()
 
 
 def _pairs(spark, d):
-    s = table(spark, d, "segments").select("id", "kind", "source_text", "book_id").dropDuplicates(["id"])
+    s = table(spark, d, "segments").select("id", "kind", "source_text", "book_id").distinct()
     t = table(spark, d, "translations").where("status = 'completed' and translated_text is not null").groupBy("segment_id").agg(F.max_by("translated_text", "record_no").alias("target"))
     return s.where("source_text is not null").join(t, s.id == t.segment_id).select("segment_id", "book_id", "kind", "source_text", "target", F.col("id").alias("ordinal"))
 
@@ -53,13 +53,13 @@ def token_order(spark, d):
 
 def glossary_terms(spark, d):
     """Mined terms in use, by segment."""
-    g = table(spark, d, "term_candidates").where("surface is not null and occurrences >= 5").select(F.trim("surface").alias("term")).where("term <> ''").distinct()
+    g = table(spark, d, "term_candidates").where("surface is not null").select(F.trim("surface").alias("term")).where("term <> ''").distinct()
     return contents.glossary_in_use(_pairs(spark, d), g).groupBy("segment_id").agg(F.count("*").alias("terms"), F.min_by("term", "rank").alias("longest"))
 
 
 def term_success(spark, d):
     """Terms kept as they are in translations."""
-    g = table(spark, d, "term_candidates").where("surface is not null and occurrences >= 5").select(F.trim("surface").alias("term")).where("term <> ''").distinct()
+    g = table(spark, d, "term_candidates").where("surface is not null").select(F.trim("surface").alias("term")).where("term <> ''").distinct()
     g = g.withColumns({"translation": F.col("term"), "constraint": F.lit("keep")})
     return contents.success_rate(_pairs(spark, d), g)
 
@@ -67,7 +67,7 @@ def term_success(spark, d):
 QUERIES = {f.__name__: f for f in (contents_entries, numbered_parents, normal_levels, page_windows, token_order, glossary_terms, term_success)}
 _P = """s as (select distinct id, kind, source_text, book_id from segments where source_text is not null),
 t as (select segment_id, arg_max(translated_text, record_no) as target from translations where status = 'completed' and translated_text is not null group by 1), p as (select * from s join t on s.id = t.segment_id),
-g as (select distinct trim(surface) as term from term_candidates where surface is not null and occurrences >= 5 and trim(surface) <> ''),
+g as (select distinct trim(surface) as term from term_candidates where surface is not null and trim(surface) <> ''),
 gw as (select term, regexp_extract_all(lower(term), '[\\pL\\pN_]+')[1] as w from g), pw as (select segment_id, source_text, target, unnest(list_distinct(regexp_extract_all(lower(source_text), '[\\pL\\pN_]+'))) as w from p),
 hit as (select distinct segment_id, term, target from pw join gw using (w) where contains(lower(source_text), lower(term)))"""
 _TOK = lambda c: f"list_transform(regexp_extract_all({c}, '\\[\\^[^\\]]+\\]|<!--.*?-->|https?://[^\\s\\])。，；]+|\\$\\s*\\^\\{{?\\d+\\}}?\\s*\\$'), lambda x: regexp_replace(x, '[\\s.,;:!?)\\]。，；：！？）】]+$|\\s+', '', 'g'))"

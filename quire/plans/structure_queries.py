@@ -10,15 +10,15 @@ from quire.runtime import table
 
 
 def _blocks(spark, d):
-    return table(spark, d, "blocks").drop("exported_at").dropDuplicates(["id"])
+    return table(spark, d, "blocks").drop("exported_at").distinct()
 
 
 def _nodes(spark, d):
-    return table(spark, d, "nodes").select("id", "book_id", "kind", "level", "title_source", "page_json", "parent_id", "block_id", "zone", "evidence", "ignored").dropDuplicates(["id"])
+    return table(spark, d, "nodes").select("id", "book_id", "kind", "level", "title_source", "page_json", "parent_id", "block_id", "zone", "evidence", "ignored").distinct()
 
 
 def _segments(spark, d):
-    return table(spark, d, "segments").select("id", "book_id", "kind", "source_text", "page_json", "zone", "parent_node_id", "level", "translatable").dropDuplicates(["id"])
+    return table(spark, d, "segments").select("id", "book_id", "kind", "source_text", "page_json", "zone", "parent_node_id", "level", "translatable").distinct()
 
 
 def block_keys(spark, d):

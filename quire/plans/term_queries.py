@@ -10,7 +10,7 @@ from quire.runtime import table
 
 
 def _segments(spark, d):
-    return table(spark, d, "segments").select("id", "book_id", "kind", "source_text").dropDuplicates(["id"])
+    return table(spark, d, "segments").select("id", "book_id", "kind", "source_text").distinct()
 
 
 def _candidates(spark, d):
@@ -50,7 +50,7 @@ def term_normals(spark, d):
 def master_matches(spark, d):
     """Surfaces against the surfaces with the most occurrences as glossary."""
     c = _candidates(spark, d).where("surface is not null")
-    master = c.where("occurrences >= 5").select(F.col("surface").alias("term"), F.col("candidate_id").alias("ordinal"))
+    master = c.select(F.col("surface").alias("term"), F.col("candidate_id").alias("ordinal"))
     return terms.master_match(c.select("surface").distinct(), master)
 
 
@@ -123,7 +123,7 @@ ORACLE = {
 g as (select id, unnest(list_transform(range(1, len(t)), lambda i: t[i:i + 1])) as g from t union all select id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i:i + 2])) as g from t)
 select array_to_string(g, ' ') as phrase, count(*) as n, count(distinct id) as segments from g where g[1] not in ({_STOP}) and g[-1] not in ({_STOP}) group by 1 having count(*) >= 4""",
     "term_normals": f"with {_C} select candidate_id, {_TN('surface')} as normal, {_JN('surface')} as join_normal from c where surface is not null",
-    "master_matches": f"""with {_C}, u as (select distinct surface from c where surface is not null), m as (select surface as term, candidate_id as o from c where surface is not null and occurrences >= 5),
+    "master_matches": f"""with {_C}, u as (select distinct surface from c where surface is not null), m as (select surface as term, candidate_id as o from c where surface is not null),
 e as (select {_TN('term')} as k, arg_min(term, o) as x from m group by 1 having k <> ''), l as (select {_JN('term')} as k, arg_min(term, o) as y from m group by 1 having k <> '')
 select surface, coalesce(x, y) as entry, case when x is not null then 'exact' when y is not null then 'loose' end as how from u left join e on e.k = {_TN('surface')} left join l on l.k = {_JN('surface')}""",
     "primary_windows": f"""with {_C}, {_S}, ev as (select candidate_id as candidate, unnest(evidence_segment_ids) as segment_id from c),
