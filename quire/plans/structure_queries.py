@@ -29,8 +29,9 @@ def block_keys(spark, d):
 def heading_text(spark, d):
     """Heading functions over the titles of all nodes."""
     t = F.col("title_source")
-    n = tx.numbering(t)
-    return _nodes(spark, d).where("title_source is not null").select(
+    n = F.col("_numbering")
+    titles = table(spark, d, "nodes").where("title_source is not null").groupBy("id").agg(F.min("title_source").alias("title_source"))
+    return titles.withColumn("_numbering", tx.numbering(t)).select(
         "id", tx.canonical_heading(t).alias("canonical"), n["token"].alias("token"), n["family"].alias("family"), n["depth"].alias("depth"), tx.rejection_reason(t).alias("rejected"),
         tx.is_label_only(t).alias("label_only"), tx.normalized_title(t).alias("normalized"), tx.zone_of_heading(t).alias("zone_word"),
     )
