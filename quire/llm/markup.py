@@ -1,21 +1,27 @@
 """Markup residue in text: find its kinds and turn it into clean text.
 
 1. *Strip.* A scanner knows the residue of HTML, Markdown, wiki and LaTeX. What
-   it finds decides the kinds of a record and is rewritten so that headings
-   (``# ``), list items (``- ``), quotations (``> ``), fenced code and formulas
-   stay recognisable.
+   it finds is rewritten so that headings (``# ``), list items (``- ``),
+   quotations (``> ``), fenced code and formulas stay recognisable.
 2. *Line-block distribution.* Over the stripped lines the lengths of text are
    summed in a sliding window; what stands in links does not count. Where the sum
-   surges, text begins; where it dives to nothing, text ends. Of a text with such
-   stretches the lines outside them go: lines that are nothing but links, as in
-   menus, and in HTML all lines that are no heading, list item, quotation, table,
-   code or formula. A text too short to surge stays as it is, and so do the other
-   lines of Markdown, wiki and LaTeX, where a short line between blank ones is a
-   caption or a title as often as not.
-
-Kinds are found by regular expressions inside the JVM, each behind a cheap test
-for its signs, so most rows never meet them. Only rows with residue go to Python
-for rewriting, in Arrow batches.
+   surges, text begins; where it dives to nothing, text ends. This decides the kinds
+   of a record and the lines of its text.
+
+   Kinds: a page number between like signs (``== 12 ==``, ``*12*``) below the last
+   stretch belongs to the page and is no residue; above or within a stretch it is a
+   heading or part of the text. Between dashes (``- 12 -``) it is nowhere an item of
+   a list. A record has the kinds that are found without such lines.
+
+   Lines: of a text with stretches the lines outside them go: lines that are nothing
+   but links, as in menus, and in HTML all lines that are no heading, list item,
+   quotation, table, code or formula. A text too short to surge stays as it is, and
+   so do the other lines of Markdown, wiki and LaTeX, where a short line between
+   blank ones is a caption or a title as often as not.
+
+Signs of the kinds are sought by regular expressions inside the JVM, each behind a
+cheap test, so most rows never meet them. Only the texts of rows with signs go to
+Python, in Arrow batches: both steps run there, for the kinds and for the text.
 """
 
 from __future__ import annotations
@@ -26,12 +32,17 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+from quire.llm.scan_noise import _NUMBER_LINE
 
 #: LaTeX commands that are residue without an argument in braces.
 LATEX_BARE = "item|par|noindent|indent|newpage|clearpage|pagebreak|linebreak|newline|ldots|dots|cdots|maketitle|centering|hline|bigskip|medskip|smallskip|hfill|vfill|quad|qquad|footnotemark|footnotetext|textbackslash|LaTeX|TeX|today|leq|geq|neq|sum|frac|times|cdot|alpha|beta|gamma|infty"
 
-#: Signs (any of which must occur) and the pattern, by kind. Both Java and Python read the patterns.
+#: Letters of scripts without blanks between words, where emphasis may begin and end within a run of letters.
+_UNSPACED = "\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+
+#: Signs (any of which must occur) and the pattern, by kind. Both Java and Python (_READ) read the patterns.
 SIGNS = {
     "html": ["<", "&"],
     "latex": ["\\", "``", "$"],
@@ -42,9 +53,10 @@ PATTERNS = {
     "html": r"(?i)</?(?!ref\b|nowiki\b|https?:)[a-z][a-z0-9]*(?:\s[^<>]*)?/?>|<!--|<!doctype|&(?:#\d{1,6}|#x[0-9a-f]{1,6}|[a-z]{2,8}\d?);",
     "latex": r"\\(?:(?:" + LATEX_BARE + r")(?![a-zA-Z])|[a-zA-Z]+\*?\{|\\(?=\s|\[|$)|\(|[%&])|\\\[(?=[^\]]*\\\])|\{\\[a-zA-Z]{2,12}(?![a-zA-Z])|(?<!`)``(?![`\s])|\$[^$\n]*[\\^_{}][^$\n]*\$",
     "wiki": r"(?m)\[\[|\{\{|\{\||^={2,6} ?[^=\n]+?={2,6}[ \t\r]*$|(?<!')'{2,5}(?=[\p{L}\p{N}“„«])[^'`\n]*(?:'[^'`\n]+)*'{2,5}|__[A-Z]{3,}__|<ref[ >/]|</ref>|<nowiki",
-    "markdown": r"(?m)^ {0,3}#{1,6} \S|^ {0,3}> ?\S|^ {0,3}(?:`{3}|~{3})|^ {0,3}(?:={3,}|-{3,})[ \t\r]*$|!?\[[^\]\n]*\]\([^)\n]+\)|\*\*(?=\S)[^*\n]+\*\*|(?<![`\\])`[^`\n]+`(?!`)|(?<!\*)\*(?=[^\s*])[^*\n]*(?<=[^\s*])\*(?!\*)|(?<![\p{L}\p{N}_/.])__?(?=[^\s_])[^_\n]+(?<=[^\s_])__?(?![\p{L}\p{N}_.])|~~(?=\S)[^~\n]+~~|^ {0,3}[-*+] \S[^\n]*\n(?:\s*\n)? {0,3}[-*+] \S|^\|(?: ?:?-{3,}:? ?\|)+|^\[(?!\^fn-)[^\]\n]+\]: \S|<https?://[^>\s]+>",
+    "markdown": r"(?m)^ {0,3}#{1,6} \S|^ {0,3}> ?\S|^ {0,3}(?:`{3}|~{3})|^ {0,3}(?:={3,}|-{3,})[ \t\r]*$|!?\[[^\]\n]*\]\([^)\n]+\)|\*\*(?=\S)[^*\n]+\*\*|(?<![`\\])`[^`\n]+`(?!`)|(?<!\*)\*(?=[^\s*])[^*\n]*(?<=[^\s*])\*(?!\*)|(?<![\p{L}\p{N}_/.])__?(?=[^\s_])[^_\n]+(?<=[^\s_])__?(?![\p{L}\p{N}_]|\.[\p{L}\p{N}_])|(?:(?<![\p{L}\p{N}_/.])|(?<=[" + _UNSPACED + r"]))__(?=[^\s_])[^_\n]+(?<=[^\s_])__(?:(?![\p{L}\p{N}_]|\.[\p{L}\p{N}_])|(?=[" + _UNSPACED + r"]))|~~(?=\S)[^~\n]+~~|^ {0,3}[-*+] \S[^\n]*\n(?:\s*\n)? {0,3}[-*+] \S|^\|(?: ?:?-{3,}:? ?\|)+|^\[(?!\^fn-)[^\]\n]+\]: \S|<https?://[^>\s]+>",
 }
 KINDS = tuple(PATTERNS)
+_READ = {k: re.compile(p.replace(r"\p{L}\p{N}_", r"\w").replace(r"\p{L}\p{N}", r"\w")) for k, p in PATTERNS.items()}
 
 
 def _has(text: Column, signs: list[str]) -> Column:
@@ -54,8 +66,8 @@ def _has(text: Column, signs: list[str]) -> Column:
     return test
 
 
-def markup_kinds(text: Column) -> Column:
-    """The kinds of markup residue in a text, as an array of strings; empty for null."""
+def markup_signs(text: Column) -> Column:
+    """The kinds of markup of which a text has signs, as an array of strings; empty for null."""
     found = [F.when(_has(text, SIGNS[k]) & text.rlike(PATTERNS[k]), F.lit(k)) for k in KINDS]
     return F.array_compact(F.array(*found))
 
@@ -65,6 +77,7 @@ _TAG = re.compile(r"(?i)</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>|<!doctype[^>]*>")
 _LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\n]+\)")
 _MATH = re.compile(r"\$\$.+?\$\$|\$[^$\n]*[\\^_{}][^$\n]*\$|\\\(.+?\\\)|\\\[.+?\\\]", re.S)
 _FENCE = re.compile(r"(?ms)^ {0,3}(`{3,}|~{3,})[^\n]*\n.*?^ {0,3}\1[ \t]*$")
+_STRONG = re.compile(rf"(?:(?<![\w/.])|(?<=[{_UNSPACED}]))__(?=[^\s_])([^_\n]*[^\s_])__(?:(?!\w|\.\w)|(?=[{_UNSPACED}]))")
 _SECTION = re.compile(r"\\(chapter|section|subsection|subsubsection|paragraph)\*?\{([^{}]*)\}")
 _DEPTH = {"chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
 
@@ -150,7 +163,8 @@ def _markdown(t: str) -> str:
     t = re.sub(r"<(https?://[^>\s]+)>", r"\1", t)
     t = re.sub(r"(\*{1,3})(?=[^\s*])([^*\n]*[^\s*])\1", r"\2", t)
     t = re.sub(r"~~(?=\S)([^~\n]+)~~", r"\1", t)
-    t = re.sub(r"(?<![\w/.])(__?)(?=[^\s_])([^_\n]*[^\s_])\1(?![\w.])", r"\2", t)
+    t = _STRONG.sub(r"\1", t)
+    t = re.sub(r"(?<![\w/.])_(?=[^\s_])([^_\n]*[^\s_])_(?!\w|\.\w)", r"\1", t)
     t = re.sub(r"(?m)^( {0,3})[*+] (?=\S)", r"\1- ", t)
     return re.sub("\x00(\\d+)\x00", lambda m: kept[int(m[1])], t)
 
@@ -200,30 +214,76 @@ def line_blocks(lengths: list[int], window: int = 3, surge: int = 40) -> list[bo
     return inside
 
 
-def clean(text: str, kinds: list[str], window: int = 3, surge: int = 40) -> str:
-    """One text without the residue of the given kinds."""
+#: In place of a line with a page number while a record is rewritten.
+_SET, _OFF = "\x03", "\x04"
+_SET_OFF = re.compile(f"{_SET}(\\d+){_OFF}")
+#: Signs that stand on both sides of a page number.
+_DASH_SIGNS = "-–—"
+_NUMBER_SIGNS = _DASH_SIGNS + "=*_~"
+
+
+def number_signs(line: str) -> str:
+    """The signs on either side of a line that is a page number between like signs, else nothing."""
+    line = line.strip()
+    core = line.strip(_NUMBER_SIGNS + " \t")
+    left, right = line[: line.find(core)], line[line.find(core) + len(core) :]
+    return left.strip() if core and left == right[::-1] and _NUMBER_LINE.match(core) else ""
+
+
+def _stripped(t: str, kinds: list[str]) -> list[str]:
+    """Lines of a text without the residue of the given kinds; texts of links stand between _OPEN and _CLOSE."""
     if "markdown" in kinds and "latex" in kinds:
         order = ("html", "wiki", "markdown", "latex")
     else:
         order = ("html", "wiki", "latex", "markdown")
-    raw_lines = text.replace("\r\n", "\n").split("\n")
-    stripped = "\n".join(raw_lines)
-    if _OPEN not in stripped and _CLOSE not in stripped:
-        stripped = _marked_links(stripped, kinds)
+    if _OPEN not in t and _CLOSE not in t:
+        t = _marked_links(t, kinds)
     for k in order:
         if k in kinds:
-            stripped = _REWRITE[k](stripped)
-    lines = [re.sub(r"[ \t]+", " ", x).strip() if not x.startswith("    ") else x.rstrip() for x in stripped.split("\n")]
-    plain = [re.sub(f"{_OPEN}[^{_CLOSE}]*{_CLOSE}", "", x) for x in lines]
-    lines = [x.replace(_OPEN, "").replace(_CLOSE, "") for x in lines]
-    letters = [len(re.sub(r"[\W_]+", "", x)) for x in lines]
+            t = _REWRITE[k](t)
+    return [re.sub(r"[ \t]+", " ", x).strip() if not x.startswith("    ") else x.rstrip() for x in t.split("\n")]
+
+
+def _distributed(t: str, kinds: list[str], window: int, surge: int) -> tuple[list[str], list[int], list[bool]]:
+    """The stripped lines of a text, what each of them tells in letters, and which lie in text."""
+    lines = _stripped(t, kinds)
+    plain = [_SET_OFF.sub("", re.sub(f"{_OPEN}[^{_CLOSE}]*{_CLOSE}", "", x)) for x in lines]
     told = [len(re.sub(r"[\W_]+", "", x)) for x in plain]
-    inside = line_blocks(told, window, surge)
+    return [x.replace(_OPEN, "").replace(_CLOSE, "") for x in lines], told, line_blocks(told, window, surge)
+
+
+def _page_numbers(signs: dict[int, str], lines: list[str], inside: list[bool]) -> set[int]:
+    """Those lines with a number between signs, named by their place in the record, that are page numbers."""
+    last = max((i for i, x in enumerate(inside) if x), default=len(lines))
+    fenced = _fenced(lines)
+    alone = {int(m[1]): i for i, x in enumerate(lines) if (m := _SET_OFF.fullmatch(x)) and not fenced[i]}
+    return {n for n, i in alone.items() if i > last or not signs[n].strip(_DASH_SIGNS)}
+
+
+def residue(text: str, kinds: list[str], window: int = 3, surge: int = 40) -> tuple[list[str], str]:
+    """Of the kinds a text has signs of, those it has residue of, and the text without it."""
+    raw_lines = text.replace("\r\n", "\n").split("\n")
+    signs = {} if _SET in text or _OFF in text else {i: s for i, x in enumerate(raw_lines) if (s := number_signs(x))}
+
+    def without(numbers: set[int] | dict[int, str]) -> str:
+        return "\n".join(f"{_SET}{i}{_OFF}" if i in numbers else x for i, x in enumerate(raw_lines))
+
+    lines, told, inside = _distributed(without(signs), kinds, window, surge)
+    if signs:
+        numbers = _page_numbers(signs, lines, inside)
+        left = _SET_OFF.sub("", without(numbers))
+        true = [k for k in kinds if _READ[k].search(left) or not _READ[k].search(without(set()))]
+        if len(true) < len(kinds) and not true:
+            return true, text
+        kinds = true
+        lines, told, inside = _distributed(without(numbers), kinds, window, surge)
+    letters = [len(re.sub(r"[\W_]+", "", x)) for x in lines]
     page = "html" in kinds
     fenced = _fenced(lines)
+    raw = set(x.strip() for x in raw_lines)
 
     def stays(i: int) -> bool:
-        if inside[i] or fenced[i]:
+        if inside[i] or fenced[i] or _SET_OFF.search(lines[i]) and signs:
             return True
         if not letters[i]:
             # a line without words that was there before stripping
@@ -232,9 +292,13 @@ def clean(text: str, kinds: list[str], window: int = 3, surge: int = 40) -> str:
             return True
         return bool(told[i]) and (not page or _STRUCTURE.match(lines[i]) is not None)
 
-    raw = set(x.strip() for x in raw_lines)
-    out = [x for i, x in enumerate(lines) if stays(i)]
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip("\n")
+    out = [_SET_OFF.sub(lambda m: raw_lines[int(m[1])].strip(), x) if signs else x for i, x in enumerate(lines) if stays(i)]
+    return kinds, re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip("\n")
+
+
+def clean(text: str, kinds: list[str], window: int = 3, surge: int = 40) -> str:
+    """One text without the residue of the given kinds."""
+    return residue(text, kinds, window, surge)[1]
 
 
 def _fenced(lines: list[str]) -> list[bool]:
@@ -250,24 +314,33 @@ def _fenced(lines: list[str]) -> list[bool]:
     return out
 
 
-def clean_text(text: Column, kinds: Column, window: int = 3, surge: int = 40) -> Column:
-    """Clean text; rows without residue keep theirs and do not go to Python."""
+_RESIDUE = StructType([StructField("kinds", ArrayType(StringType())), StructField("text", StringType())])
+
+
+def _judged(text: Column, signs: Column, with_text: bool, window: int, surge: int) -> Column:
+    """residue() of texts with signs as a struct of kinds and text; null for other texts, which don't go to Python."""
 
-    def run(s: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else clean(x, list(y), window, surge) for x, y in zip(s, k)], dtype=object)
+    def run(s: pd.Series, k: pd.Series) -> pd.DataFrame:
+        got = [(None, None) if x is None else residue(x, list(y), window, surge) for x, y in zip(s, k)]
+        return pd.DataFrame({"kinds": pd.Series([a for a, _ in got], dtype=object), "text": pd.Series([b if with_text else None for _, b in got], dtype=object)})
 
-    dirty = F.size(kinds) > 0
-    return F.when(dirty, F.pandas_udf(run, StringType())(F.when(dirty, text), kinds)).otherwise(text)
+    dirty = F.size(signs) > 0
+    return F.pandas_udf(run, _RESIDUE)(F.when(dirty, text), F.when(dirty, signs))
 
 
-def markup_residue(records: DataFrame, text_col: str = "text", skip: Column | None = None, with_text: bool = True) -> DataFrame:
+def markup_residue(records: DataFrame, text_col: str = "text", skip: Column | None = None, with_text: bool = True, window: int = 3, surge: int = 40) -> DataFrame:
     """records with markup_kinds (array of html, markdown, wiki, latex) and, if wanted, clean_text.
 
     Null texts have no kinds and stay null; rows where skip is true count as free
     of residue. Repeated rows are kept. Columns of these names are replaced.
     """
-    kinds = markup_kinds(F.col(text_col))
+    signs = markup_signs(F.col(text_col))
     if skip is not None:
-        kinds = F.when(F.coalesce(skip, F.lit(False)), F.array().cast("array<string>")).otherwise(kinds)
-    out = records.withColumn("markup_kinds", kinds)
-    return out.withColumn("clean_text", clean_text(F.col(text_col), F.col("markup_kinds"))) if with_text else out
+        signs = F.when(F.coalesce(skip, F.lit(False)), F.array().cast("array<string>")).otherwise(signs)
+    signed = records.withColumn("_signs", signs)
+    judged = signed.withColumn("_residue", _judged(F.col(text_col), F.col("_signs"), with_text, window, surge))
+    none = F.array().cast("array<string>")
+    out = judged.withColumn("markup_kinds", F.coalesce("_residue.kinds", none))
+    if with_text:
+        out = out.withColumn("clean_text", F.when(F.size("markup_kinds") > 0, F.col("_residue.text")).otherwise(F.col(text_col)))
+    return out.drop("_signs", "_residue")

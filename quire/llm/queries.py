@@ -85,7 +85,9 @@ def _marked_up(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Kinds of markup residue in each record."""
-    return _marked_up(spark, d, False).select("origin", "record_key", F.explode("markup_kinds").alias("markup")).distinct()
+    # explode() would have Spark judge every record once more, for a filter of empty arrays before it
+    found = _marked_up(spark, d, False).select("origin", "record_key", F.explode_outer("markup_kinds").alias("markup"))
+    return found.where(F.col("markup").isNotNull()).distinct()
 
 
 def p6_text(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm.markup import clean, line_blocks, markup_residue
+from quire.llm.markup import clean, line_blocks, markup_residue, number_signs
 
 CASES = [
     ("<p>One.</p>", ["html"], "One."),
@@ -65,3 +65,41 @@ def test_surge_and_dive_decide_lines():
     assert clean(links, ["markdown"]) == "The old harbour was closed to every ship before the winter came.\nA caption"
     wiki = "[[A|Next page]]\n\n\n\nThe old [[harbour]] was closed to every ship before the winter came."
     assert clean(wiki, ["wiki"]) == "The old harbour was closed to every ship before the winter came."
+
+
+BODY = "The old harbour was closed to every ship before the winter came."
+NUMBERS = [
+    (f"{BODY}\n== 12 ==", []),  # below the text: a page number
+    (f"== 12 ==\n{BODY}", ["wiki"]),  # above the text: a heading
+    (f"{BODY}\n*xii*\n{BODY}", ["markdown"]),  # within the text
+    (f"{BODY}\n\n*12*", []),
+    ("*12*", ["markdown"]),  # no text to stand below
+    (f"<p>{BODY}</p>\n== 12 ==", ["html"]),
+    (f"{BODY}\n- 12 -\n- 13 -", []),  # no list
+    ("- One\n- 12 -\n- Two", ["markdown"]),
+    ("```\nold\n```\n- 12 -\n- 13 -", ["markdown"]),
+    (f"{BODY}\n*mild*", ["markdown"]),
+    (f"{BODY}\n- 12\n- 13", ["markdown"]),
+]
+
+
+def test_page_numbers_outside_text_are_no_residue(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NUMBERS)], "k int, text string")
+    for with_text in (False, True):
+        got = {r.k: r.markup_kinds for r in markup_residue(rows, with_text=with_text).collect()}
+        assert [got[i] for i in range(len(NUMBERS))] == [k for _, k in NUMBERS]
+    text = {r.k: r.clean_text for r in markup_residue(rows).collect()}
+    assert [text[0], text[1], text[5]] == [NUMBERS[0][0], f"## 12\n{BODY}", f"{BODY}\n== 12 =="]
+    assert [number_signs(x) for x in ("- 12 -", "— Seite 4 —", "== xii ==", "---", "- 12", "*civil*", "", "-" * 100_000)] == ["-", "—", "==", "", "", "", "", ""]
+
+
+def test_distribution_decides_found(spark):
+    # the same lines, the number far below the text or with text after it
+    rows = spark.createDataFrame([(f"{BODY}\n\n\n\n__12__\n{after}",) for after in ("", BODY)], "text string")
+    assert [r.markup_kinds for r in markup_residue(rows, with_text=False).collect()] == [[], ["markdown"]]
+
+
+def test_double_underscores(spark):
+    cases = [("after the long __winter__. The witnesses", "after the long winter. The witnesses"), ("厄尔巴__尔苏特__的天文学家", "厄尔巴尔苏特的天文学家"), ("see __init__.py, a__b__c", None)]
+    got = [(r.markup_kinds, r.clean_text) for r in markup_residue(spark.createDataFrame([(t,) for t, _ in cases], "text string")).collect()]
+    assert got == [(["markdown"], c) if c else ([], t) for t, c in cases]
