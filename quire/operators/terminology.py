@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.terms import words
+from quire.operators import phrases
 
 
 def concept_uses(pairs: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -13,15 +13,15 @@ def concept_uses(pairs: DataFrame, concepts: DataFrame) -> DataFrame:
 
     pairs: segment_id, ordinal, source_text, target; concepts: concept_id, place (order of
     the glossary), surfaces (array), constraint, translation. The first surface of a
-    concept that stands in the source as a phrase counts. Surfaces meet sources on their
-    first word, not on every pair.
+    concept that stands in the source as a phrase, whatever its letter case, counts.
     """
     forms = concepts.select("concept_id", "place", "constraint", F.coalesce("translation", F.lit("")).alias("translation"), F.posexplode("surfaces").alias("_k", "surface"))
-    forms = forms.withColumn("_w", F.try_element_at(words(F.lower("surface")), F.lit(1))).where("_w is not null")
-    sources = pairs.select("segment_id", "ordinal", F.coalesce("source_text", F.lit("")).alias("source_text"), F.coalesce("target", F.lit("")).alias("target"))
-    said = sources.withColumn("_w", F.explode(F.array_distinct(words(F.lower("source_text")))))
-    phrase = F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}_])\Q"), "surface", F.lit(r"\E(?![\p{L}\p{N}_])"))
-    met = said.join(forms, "_w").where(F.contains(F.lower("source_text"), F.lower("surface"))).where(F.rlike("source_text", phrase))
+    near = phrases.met(pairs.select("segment_id", "source_text"), forms.select(F.col("surface").alias("term")), "segment_id").withColumnRenamed("term", "surface")
+    sources = pairs.where("source_text is not null").select("segment_id", "ordinal", "source_text", F.coalesce("target", F.lit("")).alias("target"))
+    quoted = F.replace(F.lower("surface"), F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    phrase = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), quoted, F.lit(r"\E(?![\p{L}\p{N}_])"))
+    stands = sources.join(near, "segment_id").where(F.contains(F.lower("source_text"), F.lower("surface"))).where(F.rlike(F.lower("source_text"), phrase))
+    met = stands.drop("source_text").join(forms, "surface")
     one = met.groupBy("segment_id", "ordinal", "target", "concept_id", "place", "constraint", "translation").agg(F.min_by("surface", "_k").alias("surface"))
     w = Window.partitionBy("concept_id").orderBy("ordinal", "segment_id")
     return one.withColumn("is_first", F.row_number().over(w) == 1)
