@@ -1,8 +1,7 @@
 """Terminology: mining, queues, matching, glossary compilation, metrics.
 
 Texts are tokenized once into arrays; n-grams are slices of them. Terms meet
-segments by their first word, so no pair of a term and a segment is tried that
-does not share it.
+segments by a pair of neighbouring words that few terms have.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
+from quire.operators import phrases
 from quire.runtime import numbered
 
 WORD = r"[A-Za-zÀ-ÖØ-öø-ÿĀ-ž][A-Za-zÀ-ÖØ-öø-ÿĀ-ž’'\-]{2,}"
@@ -103,14 +103,9 @@ def candidate_queue(mined: DataFrame, limit: int = 80) -> DataFrame:
 
 
 def matches(terms: DataFrame, segments: DataFrame) -> DataFrame:
-    """term, id of every segment that holds the term as a phrase.
-
-    terms: term. The join is on the term's first word, the pattern decides after.
-    """
-    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), 0)
-    t = terms.select("term", tx.phrase_pattern(F.col("term")).alias("_pattern"), F.try_element_at(tokens(F.col("term")), F.lit(1)).alias("_first")).where("_first is not null")
-    s = segments.where("source_text is not null").select("id", "source_text", F.explode(F.array_distinct(tokens(F.col("source_text")))).alias("_first"))
-    return s.join(t, "_first").where(F.regexp_like("source_text", F.col("_pattern"))).select("term", "id").distinct()
+    """term, id of every segment that holds the term as a phrase; terms: term."""
+    near = phrases.met(segments.select("id", "source_text"), terms.select("term"))
+    return segments.join(near, "id").where(F.regexp_like("source_text", tx.phrase_pattern(F.col("term")))).select("term", "id").distinct()
 
 
 def master_match(surfaces: DataFrame, master: DataFrame) -> DataFrame:

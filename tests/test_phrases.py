@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quire.operators import phrases
+from quire.operators import phrases, terms
 from quire.operators import terminology as term
 
 
@@ -31,3 +31,11 @@ def test_concepts_in_any_case(spark):
     concepts = spark.createDataFrame([("c", 1, ["café noir"], "preferred", "x"), ("s", 2, ["ox"], "preferred", "x"), ("a", 3, ["abbey"], "preferred", "x"), ("e", 4, [r"a\Eb"], "preferred", "x")], "concept_id string, place int, surfaces array<string>, constraint string, translation string")
     pairs = spark.createDataFrame([("1", "1", "Au CAFÉ NOIR", "x"), ("2", "2", "An ox.", "x"), ("3", "3", "Vers l'abbey", "x"), ("4", "4", r"A\EB", "x")], "segment_id string, ordinal string, source_text string, target string")
     assert {(r.segment_id, r.concept_id) for r in term.concept_uses(pairs, concepts).collect()} == {("1", "c"), ("2", "s"), ("3", "a"), ("4", "e")}
+
+
+def test_terms_with_one_first_word(spark):
+    """Thousands of terms that begin alike and texts with that word: no join on the first word, all matches."""
+    t = spark.range(100, 1100).select(F.concat(F.lit("treaty of "), F.col("id").cast("string")).alias("term"))
+    s = spark.range(100, 1100).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("The Treaty – of "), F.col("id").cast("string")).alias("source_text"))
+    m = terms.matches(t, s)
+    assert m.count() == 1000 and "_first" not in m._jdf.queryExecution().analyzed().toString()
