@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
+from quire.operators import phrases
 
 #: The kinds of entries by their labels.
 _PART, _CHAPTER = r"(?i)^(?:part|teil|book|volume)\s+\S", r"(?i)^(?:chapter|kapitel)\s+\S|^\d+[.)]?\s"
@@ -164,15 +165,17 @@ def governing_sense(senses: Column) -> Column:
     return F.when(first.isNotNull(), F.struct(first["version"].alias("version"), first["sense_id"].alias("sense_id"), first["translation"].alias("translation"))).otherwise(latest)
 
 
-def glossary_in_use(pairs: DataFrame, glossary: DataFrame, limit: int = 40) -> DataFrame:
-    """segment_id, term, rank: glossary terms that stand in a source, longest first, at most limit per segment (a prompt's limit).
+def _held(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
+    """The pairs, each with every glossary term that stands in its source and whose first word is a word of it."""
+    near = phrases.met(pairs.select("segment_id", "source_text"), glossary.select("term"), "segment_id")
+    first = F.try_element_at(phrases.tokens(F.col("term")), F.lit(1))
+    there = F.contains(F.lower("source_text"), F.lower("term")) & F.array_contains(phrases.tokens(F.col("source_text")), first)
+    return pairs.join(near, "segment_id").where(there)
 
-    Terms meet texts on their first word, not on every pair.
-    """
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), 0)
-    g = glossary.select("term", F.try_element_at(words(F.col("term")), F.lit(1)).alias("_w")).where("_w is not null").distinct()
-    s = pairs.select("segment_id", "source_text", F.explode(F.array_distinct(words(F.col("source_text")))).alias("_w"))
-    hit = s.join(g, "_w").where(F.contains(F.lower("source_text"), F.lower("term"))).select("segment_id", "term").distinct()
+
+def glossary_in_use(pairs: DataFrame, glossary: DataFrame, limit: int = 40) -> DataFrame:
+    """segment_id, term, rank: glossary terms that stand in a source, longest first, at most limit per segment (a prompt's limit)."""
+    hit = _held(pairs, glossary).select("segment_id", "term").distinct()
     w = Window.partitionBy("segment_id").orderBy(F.desc(F.length("term")), "term")
     return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quire.operators import phrases, terms
+from quire.operators import contents, phrases, terms
 from quire.operators import terminology as term
 
 
@@ -39,3 +39,12 @@ def test_terms_with_one_first_word(spark):
     s = spark.range(100, 1100).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("The Treaty – of "), F.col("id").cast("string")).alias("source_text"))
     m = terms.matches(t, s)
     assert m.count() == 1000 and "_first" not in m._jdf.queryExecution().analyzed().toString()
+
+
+def test_glossary_with_one_first_word(spark):
+    """Terms that begin alike do not meet all texts with that word; a term counts within longer words if its first word stands by itself too."""
+    g = spark.createDataFrame([(f"gate of {i}",) for i in range(100, 400)] + [("gate tow",), ("gate",)], "term string")
+    p = spark.createDataFrame([("1", "Investigate towers at the gate of 123"), ("2", "investigate towers"), ("3", None)], "segment_id string, source_text string")
+    used = contents.glossary_in_use(p, g)
+    assert {(r.segment_id, r.term, r["rank"]) for r in used.collect()} == {("1", "gate of 123", 1), ("1", "gate tow", 2), ("1", "gate", 3)}
+    assert "_w#" not in used._jdf.queryExecution().analyzed().toString()
