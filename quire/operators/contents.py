@@ -180,6 +180,11 @@ def glossary_in_use(pairs: DataFrame, glossary: DataFrame, limit: int = 40) -> D
     return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
+def _kept() -> Column:
+    """Whether a target has what the glossary wants."""
+    return F.when(F.col("constraint") == "keep", F.contains("target", "term")).otherwise(F.contains("target", "translation"))
+
+
 def term_audit(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
     """segment_id, term, check: violations of a glossary in translations.
 
@@ -189,13 +194,12 @@ def term_audit(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
     """
     used = glossary_in_use(pairs, glossary, 1 << 30).drop("rank").join(glossary, "term").join(pairs.select("segment_id", "ordinal", "target"), "segment_id")
     w = Window.partitionBy("term").orderBy("ordinal", "segment_id")
-    kept = F.when(F.col("constraint") == "keep", F.contains("target", "term")).otherwise(F.contains("target", "translation"))
     check = F.when(F.col("constraint") == "keep", "do_not_translate").when(F.col("constraint") == "hard", "hard_violation").when(F.col("_n") == 1, "first_occurrence").otherwise("suspicious_context")
-    return used.withColumn("_n", F.row_number().over(w)).where(~kept).select("segment_id", "term", check.alias("check"))
+    return used.withColumn("_n", F.row_number().over(w)).where(~_kept()).select("segment_id", "term", check.alias("check"))
 
 
 def success_rate(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
     """uses, violations, rate of glossary terms kept; 1 when none is used; one row."""
-    n = glossary_in_use(pairs, glossary, 1 << 30).agg(F.count("*").alias("uses"))
-    v = term_audit(pairs, glossary).agg(F.count("*").alias("violations"))
-    return n.crossJoin(v).select("uses", "violations", F.round(F.when(F.col("uses") == 0, 1.0).otherwise(1 - F.col("violations") / F.col("uses")), 6).alias("rate"))
+    used = _held(pairs, glossary).select("segment_id", "term", "target").join(glossary, "term").groupBy("segment_id", "term").agg(F.count_if(~_kept()).alias("_v"))
+    n = used.agg(F.count("*").alias("uses"), F.coalesce(F.sum("_v"), F.lit(0)).alias("violations"))
+    return n.select("uses", "violations", F.round(F.when(F.col("uses") == 0, 1.0).otherwise(1 - F.col("violations") / F.col("uses")), 6).alias("rate"))

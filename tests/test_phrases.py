@@ -33,6 +33,15 @@ def test_concepts_in_any_case(spark):
     assert {(r.segment_id, r.concept_id) for r in term.concept_uses(pairs, concepts).collect()} == {("1", "c"), ("2", "s"), ("3", "a"), ("4", "e")}
 
 
+def test_success_rate_in_one_pass(spark):
+    """Uses and violations as the audit of single terms counts them, with the texts read for one meeting only."""
+    pairs = spark.createDataFrame([("1", 1, "Old town and gate", "Old town"), ("2", 2, "The gate", "gate"), ("3", 3, "gateway", ""), ("4", 4, "investigate the gate tower", None)], "segment_id string, ordinal int, source_text string, target string")
+    g = spark.createDataFrame([("old town", "Old town", "hard"), ("gate", "gate", "keep"), ("gate tow", "x", "hard")], "term string, translation string, constraint string")
+    rate = contents.success_rate(pairs, g)
+    assert tuple(rate.first()) == (5, contents.term_audit(pairs, g).count(), 0.8)
+    assert rate._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_terms_with_one_first_word(spark):
     """Thousands of terms that begin alike and texts with that word: no join on the first word, all matches."""
     t = spark.range(100, 1100).select(F.concat(F.lit("treaty of "), F.col("id").cast("string")).alias("term"))
