@@ -57,3 +57,11 @@ def test_glossary_with_one_first_word(spark):
     used = contents.glossary_in_use(p, g)
     assert {(r.segment_id, r.term, r["rank"]) for r in used.collect()} == {("1", "gate of 123", 1), ("1", "gate tow", 2), ("1", "gate", 3)}
     assert "_w#" not in used._jdf.queryExecution().analyzed().toString()
+
+
+def test_metrics_count_every_use(spark):
+    """Uses in accented capitals and after an apostrophe count in the figures too."""
+    concepts = spark.createDataFrame([("c", 1, ["café noir"], "preferred", "x"), ("a", 2, ["abbey"], "hard", "y")], "concept_id string, place int, surfaces array<string>, constraint string, translation string")
+    pairs = spark.createDataFrame([("1", "1", "Au CAFÉ NOIR", "x"), ("2", "2", "Vers l'abbey", "x")], "segment_id string, ordinal string, source_text string, target string")
+    m = term.terminology_metrics(term.judged_uses(term.concept_uses(pairs, concepts))).first()
+    assert (m.applicable, m.matched, m.hard_violations) == (1, 1, 1)
